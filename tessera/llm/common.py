@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
@@ -64,3 +64,28 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
 
     return df.select(key, "text").mapInArrow(run, kind)
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list[str]], pa.RecordBatch]], most: int = 4 << 20) -> DataFrame:
+    """Arrow map over whole rows: f(rows, texts) gives rows of the same schema; slices balanced as in map_texts."""
+    kind, at = df.schema, df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for a, b in by_bytes(texts, most):
+                yield f(batch.slice(a, b - a), texts[a:b])
+
+    return df.mapInArrow(run, kind)
+
+
+#: Ids sent to all executors at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in dropped, without moving texts as long as dropped is of bounded size."""
+    dropped = stash(dropped.select("doc_id").distinct())
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -12,9 +12,10 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_texts, table
+from .common import map_rows, map_texts, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
@@ -329,24 +330,18 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with personal data masked in text and n_chars set to its new length; a null text stays null."""
-    import pyarrow as pa
+    """docs with personal data masked in text and n_chars, if there, set to its new length; a null text stays null."""
 
-    names, kind = docs.columns, docs.schema
-
-    def run(batches):
-        from .common import by_bytes
+    def make():
+        def f(rows: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+            spans, old = all_spans(texts)[1], rows.column("text").is_null().to_pylist()
+            new = [None if gone else mask(t, s) for t, s, gone in zip(texts, spans, old, strict=True)]
+            put = {"text": new, "n_chars": [None if t is None else len(t) for t in new]}
+            return pa.RecordBatch.from_arrays([pa.array(put[x.name], x.type) if x.name in put else rows.column(i) for i, x in enumerate(rows.schema)], schema=rows.schema)
 
-        at = names.index("text")
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in by_bytes([t or "" for t in texts], 4 << 20):
-                part = [t or "" for t in texts[a:b]]
-                new = [None if t is None else mask(t, s) for t, s in zip(texts[a:b], all_spans(part)[1], strict=True)]
-                cols = [pa.array(new, batch.schema.field(i).type) if i == at else pa.array([None if t is None else len(t) for t in new], batch.schema.field(i).type) if n == "n_chars" else batch.column(i).slice(a, b - a) for i, n in enumerate(names)]
-                yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+        return f
 
-    return docs.mapInArrow(run, kind)
+    return map_rows(docs, make)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

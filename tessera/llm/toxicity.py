@@ -14,9 +14,10 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import map_texts, stash, table
+from .common import map_rows, map_texts, stash, table
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 SCHEMA = "doc_id long, score double"
@@ -220,5 +221,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 800, threshold
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def clean(docs: DataFrame, labels: DataFrame, per_class: int = 800, threshold: float = 0.3) -> DataFrame:
+    """docs without the rows that the model, fitted as in toxicity(), holds for toxic. Without labels of both
+    classes there is no model and every row stays."""
+    rows, prior = sample(docs, labels, per_class)
+    if not rows:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(train(rows, prior=prior))
+
+    def make():
+        score = shared.value.scorer()
+        return lambda rows, texts: rows.filter(pa.array([score(t) < threshold for t in texts], pa.bool_()))
+
+    return map_rows(docs, make)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
