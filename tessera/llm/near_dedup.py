@@ -5,10 +5,13 @@ takes the few labelled k-mers with the smallest hashes under one permutation and
 texts share it with a chance that falls with their edit distance, not only with their sets. Bands of sketches
 are the bucket keys. Equal texts are one node from the start.
 
-A bucket's pairs are never listed: round by round, pivots (one at first, twice as many each round) are held
-against those members of their buckets that aren't yet in the same component, until every bucket is one
-component or all its members were pivots. So no link between different texts of a bucket is lost, and a large
-group of near copies costs one comparison a member.
+A bucket's pairs are never listed: round by round, pivots (one at first, eight times as many each round) are
+held against those members of their buckets that aren't yet in the same component, until every bucket is one
+component or all its members were pivots. A large group of near copies so costs one comparison a member. For
+buckets of texts that share much but not enough, each text has a parity signature: bit i tells if an odd number
+of its labelled k-mers fall into cell i. Two texts differ in at least as many k-mers as their signatures differ
+in bits, so a pair whose signatures differ too much is no link and leaves the join at once. Neither rule loses
+a link between different texts of a bucket.
 
 A pair is verified by alignment: the longest chain of common labelled k-mers in the same order in both texts,
 within a band of diagonals that holds every alignment of the wanted similarity."""
@@ -29,7 +32,9 @@ from .common import by_bytes, stash, table
 
 K, TAKE, ROWS, BANDS, SIMILAR = 5, 3, 2, 32, 0.8
 WORDS = re.compile(r"\w+").findall
-SKETCH = "doc_id long, node binary, bands array<long>, words binary"
+CELLS = 16  # words of 64 bits in a parity signature
+GROWTH = 8  # of pivots from round to round
+SKETCH = "doc_id long, node binary, bands array<long>, n int, sig array<long>, words binary"
 #: Nodes are 16 bytes; a semi join sends them to all executors up to this many (about 100 MB), else it shuffles.
 BROADCAST_NODES = 2_000_000
 
@@ -92,6 +97,19 @@ def bands(marks: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def signature(marks: np.ndarray) -> np.ndarray:
+    """Parity of the labelled k-mers in each of 64 * CELLS cells."""
+    odd = (np.bincount((mix(marks) % np.uint64(64 * CELLS)).astype(np.int64), minlength=64 * CELLS) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<i8")
+
+
+def may_link(least: float) -> F.Column:
+    """False only for pairs that can't reach `least`: a similarity s leaves at most (1 - s) / (1 + s) of both
+    texts' k-mers unshared."""
+    differ = sum((F.bit_count(F.col("sig")[i].bitwiseXOR(F.col("psig")[i])) for i in range(1, CELLS)), F.bit_count(F.col("sig")[0].bitwiseXOR(F.col("psig")[0])))
+    return (differ <= (F.col("n") + F.col("pn")) * ((1 - least) / (1 + least)) + 1e-6) & (F.least("n", "pn") >= F.greatest("n", "pn") * least - 1e-6)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     """Of two word sequences: aligned k-mers over all k-mers, by the longest chain of common labelled k-mers in
     order. 0 as soon as it must be below `least`. Offsets beyond the band can't occur in such an alignment:
@@ -121,11 +139,11 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
-        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("words", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("n", pa.int32()), ("sig", pa.list_(pa.int64())), ("words", pa.binary())])
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in by_bytes(texts, 2 << 20):
-                nodes, marks, seqs = [], [], []
+                nodes, marks, seqs, sizes, sigs = [], [], [], [], []
                 for t in texts[a:b]:
                     found = WORDS(t.lower())
                     if len(memo) > 400_000:
@@ -135,9 +153,12 @@ def sketch(docs: DataFrame) -> DataFrame:
                     words = np.array([memo[w] for w in found], "<u4")
                     raw = words.tobytes()
                     nodes.append(hashlib.blake2b(" ".join(found).encode("utf-8", "replace") if found else b"\0" + t.encode("utf-8", "replace"), digest_size=16).digest())
-                    marks.append(bands(kmers(words)))
+                    own = kmers(words)
+                    marks.append(bands(own))
+                    sizes.append(len(own))
+                    sigs.append(signature(own))
                     seqs.append(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(nodes, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(seqs, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(nodes, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), pa.array(seqs, pa.binary())], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
@@ -188,17 +209,19 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     owner = every.select("doc_id", "node")
     if n:
         wanted = F.broadcast(candidates) if n <= BROADCAST_NODES else candidates
-        seqs = stash(every.select("node", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-        label, tested, step = candidates.select("node", F.col("node").alias("label")), None, 0
+        seqs = stash(every.select("node", "n", "sig", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+        label, tested, step = seqs.select("node", F.col("node").alias("label"), "n", "sig"), None, 0
+        bound = may_link(least)
         while True:
-            now = stash(open_.join(label, "node").select("key", "node", "label"))
-            alive = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
+            now = stash(open_.join(label, "node").select("key", "node", "label", "n", "sig"))
+            alive = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members")
             now = stash(now.join(alive, "key"))
             if now.isEmpty():
                 break
-            cell = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << step))
-            pivots = stash(now.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("node", "label")).alias("p")).select("key", "p.*"))
-            pairs = now.join(pivots.select("key", F.col("node").alias("pivot"), F.col("label").alias("other")), "key").filter("label <> other")
+            cell = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(GROWTH**step))
+            pivots = stash(now.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("node", "label", "n", "sig")).alias("p")).select("key", "p.*"))
+            other = pivots.select("key", F.col("node").alias("pivot"), F.col("label").alias("other"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
+            pairs = now.join(other, "key").filter((F.col("label") != F.col("other")) & bound)
             pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -207,12 +230,12 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             links = stash(verify(pairs, seqs, least))
             # A bucket all of whose members but one have been pivots is done.
             used = pivots.groupBy("key").agg(F.count("*").alias("used"))
-            open_ = stash(now.join(used, "key").filter("used < n - 1").select("key", "node"))
+            open_ = stash(now.join(used, "key").filter("used < members - 1").select("key", "node"))
             if not links.isEmpty():
                 x, y = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
                 merged = components(links.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
                 merged = merged.select(F.col("node").alias("label"), F.col("label").alias("top"))
-                label = stash(label.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+                label = stash(label.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label"), "n", "sig"))
             step += 1
         owner = owner.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     else:
