@@ -34,6 +34,7 @@ K, TAKE, ROWS, BANDS, SIMILAR = 5, 3, 2, 32, 0.8
 WORDS = re.compile(r"\w+").findall
 CELLS = 16  # words of 64 bits in a parity signature
 GROWTH = 8  # of pivots from round to round
+FIRST = 3  # bands of the round before all bands: it links most of a group, so later bands find one component
 SKETCH = "doc_id long, node binary, bands array<long>, n int, sig array<long>, words binary"
 #: Nodes are 16 bytes; a semi join sends them to all executors up to this many (about 100 MB), else it shuffles.
 BROADCAST_NODES = 2_000_000
@@ -200,10 +201,10 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     identical; null text counts as empty; shorter texts than 5 words are one k-mer."""
     every = stash(sketch(docs))
     nodes = every.select("node", "bands").dropDuplicates(["node"])
-    members = nodes.select(F.explode("bands").alias("key"), "node")
+    members = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
     members = stash(members)
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    open_ = stash(members.join(shared, "key").select("key", "node"))
+    open_ = stash(members.join(shared, "key").select("key", "band", "node"))
     candidates = stash(open_.select("node").distinct())
     n = candidates.count()
     owner = every.select("doc_id", "node")
@@ -213,12 +214,13 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
         label, tested, step = seqs.select("node", F.col("node").alias("label"), "n", "sig"), None, 0
         bound = may_link(least)
         while True:
-            now = stash(open_.join(label, "node").select("key", "node", "label", "n", "sig"))
+            scope = open_ if step else open_.filter(F.col("band") < FIRST)
+            now = stash(scope.join(label, "node").select("key", "band", "node", "label", "n", "sig"))
             alive = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members")
             now = stash(now.join(alive, "key"))
-            if now.isEmpty():
+            if step and now.isEmpty():
                 break
-            cell = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(GROWTH**step))
+            cell = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(GROWTH ** max(0, step - 1)))
             pivots = stash(now.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("node", "label", "n", "sig")).alias("p")).select("key", "p.*"))
             other = pivots.select("key", F.col("node").alias("pivot"), F.col("label").alias("other"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
             pairs = now.join(other, "key").filter((F.col("label") != F.col("other")) & bound)
@@ -229,8 +231,9 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             tested = pairs if tested is None else tested.unionByName(pairs)
             links = stash(verify(pairs, seqs, least))
             # A bucket all of whose members but one have been pivots is done.
-            used = pivots.groupBy("key").agg(F.count("*").alias("used"))
-            open_ = stash(now.join(used, "key").filter("used < members - 1").select("key", "node"))
+            if step:
+                used = pivots.groupBy("key").agg(F.count("*").alias("used"))
+                open_ = stash(now.join(used, "key").filter("used < members - 1").select("key", "band", "node"))
             if not links.isEmpty():
                 x, y = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
                 merged = components(links.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
