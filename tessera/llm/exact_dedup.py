@@ -7,8 +7,11 @@ compares all 32 bytes. Rows that the index doesn't know are grouped on their own
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import stash, table
@@ -115,27 +118,41 @@ def lookup(rows: DataFrame, index: DataFrame, n_shards: int, most_rows: int) ->
     splits = rows.groupBy("shard").agg(F.ceil(F.count("*") / most_rows).cast("int").alias("splits"))
     if n_shards <= 1 << 20:
         splits = F.broadcast(splits)
-    left = rows.join(splits, "shard").withColumn("split", F.pmod(F.xxhash64("doc_id", "n_cp"), F.col("splits")).cast("int")).drop("splits")
-    right = index.join(splits, "shard").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
-
-    def find(pdf: pd.DataFrame, idx: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[["doc_id", "digest", "n_cp"]].copy()
-        out["keep_id"], out["group_size"], out["member"] = pd.array([pd.NA] * len(pdf), "Int64"), pd.array([pd.NA] * len(pdf), "Int64"), False
-        if len(pdf) and len(idx):
-            r = idx.iloc[0]
-            sizes = np.frombuffer(r["sizes"], np.int64)
-            cells = np.unpackbits(np.frombuffer(r["cells"], np.uint8))[: sizes.sum()].astype(bool)
-            at = PerfectHash(sizes, cells, _words(r["slots"])).lookup(_words(b"".join(pdf.digest)))
-            ok, keep, has, n = at >= 0, np.frombuffer(r["keep"], "<i8"), np.frombuffer(r["has"], bool), np.frombuffer(r["n"], "<i8")
-            safe = np.where(ok, at, 0)
-            out["keep_id"] = pd.array(np.where(ok, keep[safe], 0), "Int64")
-            out.loc[~(ok & has[safe]), "keep_id"] = pd.NA
-            out["group_size"] = pd.array(np.where(ok, n[safe], 0), "Int64")
-            out.loc[~ok, "group_size"] = pd.NA
-            out["member"] = ok
-        return out
-
-    return left.groupBy("shard", "split").cogroup(right.groupBy("shard", "split")).applyInPandas(find, "doc_id long, digest binary, n_cp long, keep_id long, group_size long, member boolean")
+    blobs = [c for c in index.columns if c != "shard"]
+    left = rows.join(splits, "shard").withColumn("split", F.pmod(F.xxhash64("doc_id", "n_cp"), F.col("splits")).cast("int"))
+    left = left.select("shard", "split", F.lit(1).alias("kind"), "doc_id", "digest", "n_cp", *(F.lit(None).cast("binary").alias(c) for c in blobs))
+    right = index.join(splits, "shard").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
+    right = right.select("shard", "split", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("n_cp"), *blobs)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In each (shard, split) the index row comes first, then the rows to look up; one index is held at a time."""
+        place, held = None, None
+        for batch in batches:
+            spots, kind = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(spots) != 0) | (np.diff(kind) != 0)) + 1), len(kind)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b == a:
+                    continue
+                if spots[a] != place:
+                    place, held = spots[a], None
+                if kind[a] == 0:
+                    sizes, cells, slots, keep, has, n = (batch.column(6 + j)[a].as_py() for j in range(6))
+                    sizes = np.frombuffer(sizes, np.int64)
+                    bits = np.unpackbits(np.frombuffer(cells, np.uint8))[: sizes.sum()].astype(bool)
+                    held = PerfectHash(sizes, bits, _words(slots)), np.frombuffer(keep, "<i8"), np.frombuffer(has, bool), np.frombuffer(n, "<i8")
+                    continue
+                part = batch.slice(a, b - a)
+                digest = part.column(4)
+                if held is None:
+                    ok, keep_id, known, size = (np.zeros(b - a, t) for t in (bool, np.int64, bool, np.int64))
+                else:
+                    at = held[0].lookup(_words(b"".join(digest.to_pylist())))
+                    ok, safe = at >= 0, np.maximum(at, 0)
+                    keep_id, known, size = held[1][safe], ok & held[2][safe], held[3][safe]
+                yield pa.RecordBatch.from_arrays([part.column(3), digest, part.column(5), pa.array(keep_id, mask=~known), pa.array(size, mask=~ok), pa.array(ok)], names=["doc_id", "digest", "n_cp", "keep_id", "group_size", "member"])
+
+    both = left.unionByName(right).repartition("shard", "split").sortWithinPartitions("shard", "split", "kind")
+    return both.mapInArrow(find, "doc_id long, digest binary, n_cp long, keep_id long, group_size long, member boolean")
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, most_rows: int = 50_000) -> DataFrame:
