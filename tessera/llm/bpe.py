@@ -122,7 +122,7 @@ class Transducer:
     Follows the file's steps: special strings are taken out first; NFC and lower case; words by pattern; byte
     symbols; merges. Words up to `short` bytes are looked up in a memo of bounded size, longer ones stream."""
 
-    def __init__(self, path: str, memo: int = 300_000, short: int = 64) -> None:
+    def __init__(self, path: str, memo: int = 150_000, short: int = 64) -> None:
         self.m, self.memo_size, self.short = merges(path), memo, short
         steps = [x["type"] for x in self.m.spec["normalizer"]["normalizers"]]
         if steps != ["NFC", "Replace", "Lowercase"]:

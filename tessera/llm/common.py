@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -34,20 +36,22 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def by_bytes(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive slices of about `most` characters each (at least one text)."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t) + 16
-    if start < len(texts):
-        yield start, len(texts)
+def slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive slices of about `most` bytes of text each (at least one row), with their texts, null as empty.
+    Texts become Python strings one slice at a time, and Arrow's free memory goes back to the system at the end."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        start = 0
+        while start < len(size):
+            end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most, "right")))
+            part = batch.slice(start, end - start)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
+            start = end
+    pa.default_memory_pool().release_unused()
 
 
 def map_texts(
-    df: DataFrame, make: Callable[[], Callable[[list, list[str]], dict]], schema: str, key: str = "doc_id", most: int = 4 << 20
+    df: DataFrame, make: Callable[[], Callable[[list, list[str]], dict]], schema: str, key: str = "doc_id", most: int = 2 << 20
 ) -> DataFrame:
     """Arrow map over (key, text): make() runs once per task and returns f(keys, texts) -> columns.
     Null texts arrive as empty strings; slices are balanced by characters so memory stays bounded."""
@@ -56,26 +60,21 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(kind)
         f = make()
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in by_bytes(texts, most):
-                out = f(keys[a:b], texts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
+        for part, texts in slices(batches, 1, most):
+            out = f(part.column(0).to_pylist(), texts)
+            yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
 
     return df.select(key, "text").mapInArrow(run, kind)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list[str]], pa.RecordBatch]], most: int = 4 << 20) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list[str]], pa.RecordBatch]], most: int = 2 << 20) -> DataFrame:
     """Arrow map over whole rows: f(rows, texts) gives rows of the same schema; slices balanced as in map_texts."""
     kind, at = df.schema, df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in by_bytes(texts, most):
-                yield f(batch.slice(a, b - a), texts[a:b])
+        for part, texts in slices(batches, at, most):
+            yield f(part, texts)
 
     return df.mapInArrow(run, kind)
 

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import by_bytes, stash, table
+from .common import slices, stash, table
 
 K, TAKE, ROWS, BANDS, SIMILAR = 5, 3, 2, 32, 0.8
 WORDS = re.compile(r"\w+").findall
@@ -141,25 +141,22 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("n", pa.int32()), ("sig", pa.list_(pa.int64())), ("words", pa.binary())])
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in by_bytes(texts, 2 << 20):
-                nodes, marks, seqs, sizes, sigs = [], [], [], [], []
-                for t in texts[a:b]:
-                    found = WORDS(t.lower())
-                    if len(memo) > 400_000:
-                        memo.clear()
-                    for w in set(found).difference(memo):
-                        memo[w] = zlib.crc32(w.encode("utf-8", "replace"))
-                    words = np.array([memo[w] for w in found], "<u4")
-                    raw = words.tobytes()
-                    nodes.append(hashlib.blake2b(" ".join(found).encode("utf-8", "replace") if found else b"\0" + t.encode("utf-8", "replace"), digest_size=16).digest())
-                    own = kmers(words)
-                    marks.append(bands(own))
-                    sizes.append(len(own))
-                    sigs.append(signature(own))
-                    seqs.append(raw)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(nodes, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), pa.array(seqs, pa.binary())], schema=schema)
+        for part, texts in slices(batches, 1):
+            nodes, marks, seqs, sizes, sigs = [], [], [], [], []
+            for t in texts:
+                found = WORDS(t.lower())
+                if len(memo) > 100_000:
+                    memo.clear()
+                for w in set(found).difference(memo):
+                    memo[w] = zlib.crc32(w.encode("utf-8", "replace"))
+                words = np.array([memo[w] for w in found], "<u4")
+                own = kmers(words)
+                nodes.append(hashlib.blake2b(" ".join(found).encode("utf-8", "replace") if found else b"\0" + t.encode("utf-8", "replace"), digest_size=16).digest())
+                marks.append(bands(own))
+                sizes.append(len(own))
+                sigs.append(signature(own))
+                seqs.append(words.tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(marks, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(sigs, pa.list_(pa.int64())), pa.array(seqs, pa.binary())], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
@@ -169,7 +166,7 @@ def verify(pairs: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
     one, two = seqs.select(F.col("node").alias("a"), F.col("words").alias("wa")), seqs.select(F.col("node").alias("b"), F.col("words").alias("wb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
             keep = [similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) > 0 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from .common import by_bytes, stash, table
+from .common import slices, stash, table
 from .token_counts import safe_pieces
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -186,19 +187,21 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, i
 # ---------------------------------------------------------------- Spark
 
 
+@lru_cache(maxsize=1)
 def encoder(path_json: str, path_ranks: str):
     """Text -> ids as the tokenizers library gives for path_json, special strings included. The ids come from
-    the same merges in rank form, which is several times faster; the tests hold both against each other."""
+    the same merges in rank form, which is several times faster; the tests hold both against each other. One
+    encoder stays in each worker."""
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path_ranks, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    tok = Tokenizer.from_file(path_json)
-    special = {x.content: i for i, x in tok.get_added_tokens_decoder().items()}
+    with open(path_json, encoding="utf-8") as f:
+        special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
     enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return lambda text: enc.encode(text, allowed_special="all")
 
@@ -213,19 +216,17 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, name: str = "byte_bpe_50
 
         encode = encoder(public_tokenizers.path(f"{name}.json"), public_tokenizers.path(f"{name}.tiktoken"))
         part, seen, arrow = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), to_arrow_schema(kind)
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in by_bytes(texts, 2 << 20):
-                out: list[tuple] = []
-                for key, text in zip(keys[a:b], texts[a:b], strict=True):
-                    ids = np.fromiter((i for p in safe_pieces(text, 1 << 16) for i in encode(p)), "<u4") if len(text) > 1 << 16 else np.array(encode(text), "<u4")
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)] if len(ids) > capacity else [0, len(ids)]
-                    for n, (x, y) in enumerate(zip(cuts, cuts[1:])):
-                        out.append((key, n, x, y - x, zlib.crc32(ids[x:y].tobytes()), part, int(seen[y - x])))
-                        seen[y - x] += 1
-                cols = list(zip(*out)) or [()] * len(arrow)
-                yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(cols, arrow)], schema=arrow)
+        for rows, texts in slices(batches, 1):
+            out: list[tuple] = []
+            for key, text in zip(rows.column(0).to_pylist(), texts, strict=True):
+                ids = np.fromiter((i for p in safe_pieces(text, 1 << 16) for i in encode(p)), "<u4") if len(text) > 1 << 16 else np.array(encode(text), "<u4")
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)] if len(ids) > capacity else [0, len(ids)]
+                for n, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                    out.append((key, n, x, y - x, zlib.crc32(ids[x:y].tobytes()), part, int(seen[y - x])))
+                    seen[y - x] += 1
+            cols = list(zip(*out)) or [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(cols, arrow)], schema=arrow)
 
     return docs.select("doc_id", "text").mapInArrow(run, kind)
 

@@ -47,7 +47,7 @@ class Model:
     def lead(self):
         """A function from a text to the lead of its most toxic window."""
         memo: dict[str, float] = {}
-        lead, n, margin, width, memo_size = self.leads(), len(self.table), float(self.bias[1] - self.bias[0]), self.window, 400_000
+        lead, n, margin, width, memo_size = self.leads(), len(self.table), float(self.bias[1] - self.bias[0]), self.window, 100_000
 
         def known(w: str) -> float:
             if len(memo) >= memo_size:
