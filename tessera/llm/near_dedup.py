@@ -208,12 +208,15 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     if n:
         wanted = F.broadcast(candidates) if n <= BROADCAST_NODES else candidates
         seqs = stash(every.select("node", "n", "sig", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-        label, tested, step = seqs.select("node", F.col("node").alias("label"), "n", "sig"), None, 0
+        label, tested, finished, step = seqs.select("node", F.col("node").alias("label"), "n", "sig"), None, None, 0
         bound = may_link(least)
         while True:
             scope = open_ if step else open_.filter(F.col("band") < FIRST)
             now = stash(scope.join(label, "node").select("key", "band", "node", "label", "n", "sig"))
             alive = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members")
+            if finished is not None:
+                alive = alive.join(finished, "key", "left_anti")
+            alive = stash(alive)
             now = stash(now.join(alive, "key"))
             if step and now.isEmpty():
                 break
@@ -230,7 +233,9 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             # A bucket all of whose members but one have been pivots is done.
             if step:
                 used = pivots.groupBy("key").agg(F.count("*").alias("used"))
-                open_ = stash(now.join(used, "key").filter("used < members - 1").select("key", "band", "node"))
+                ended = stash(alive.join(used, "key").filter("used >= members - 1").select("key"))
+                finished = ended if finished is None else finished.unionByName(ended)
+                open_ = now.select("key", "band", "node")
             if not links.isEmpty():
                 x, y = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
                 merged = components(links.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
