@@ -34,7 +34,7 @@ K, TAKE, ROWS, BANDS, SIMILAR = 5, 3, 2, 32, 0.8
 WORDS = re.compile(r"\w+").findall
 CELLS = 16  # words of 64 bits in a parity signature
 GROWTH = 8  # of pivots from round to round
-FIRST = 3  # bands of the round before all bands: it links most of a group, so later bands find one component
+ROUNDS = ((0, 2), (2, 4), (4, 8), (8, 16), (16, 32))  # bands of the rounds before all: what they link isn't met again
 SKETCH = "doc_id long, node binary, bands array<long>, n int, sig array<long>, words binary"
 #: Nodes are 16 bytes; a semi join sends them to all executors up to this many (about 100 MB), else it shuffles.
 BROADCAST_NODES = 2_000_000
@@ -208,21 +208,25 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     if n:
         wanted = F.broadcast(candidates) if n <= BROADCAST_NODES else candidates
         seqs = stash(every.select("node", "n", "sig", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-        label, tested, finished, step = seqs.select("node", F.col("node").alias("label"), "n", "sig"), None, None, 0
+        label, tested, finished, before, step = seqs.select("node", F.col("node").alias("label"), "n", "sig"), None, None, None, 0
         bound = may_link(least)
         while True:
-            scope = open_ if step else open_.filter(F.col("band") < FIRST)
+            part = ROUNDS[step] if step < len(ROUNDS) else None
+            scope = open_.filter(F.col("band").between(part[0], part[1] - 1)) if part else open_
             now = stash(scope.join(label, "node").select("key", "band", "node", "label", "n", "sig"))
             alive = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members")
             if finished is not None:
                 alive = alive.join(finished, "key", "left_anti")
             alive = stash(alive)
             now = stash(now.join(alive, "key"))
-            if step and now.isEmpty():
+            if not part and now.isEmpty():
                 break
-            cell = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(GROWTH ** max(0, step - 1)))
+            cell = F.pmod(F.xxhash64("node"), F.lit(GROWTH ** max(0, step - len(ROUNDS) + 1)))
             pivots = stash(now.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("node", "label", "n", "sig")).alias("p")).select("key", "p.*"))
-            other = pivots.select("key", F.col("node").alias("pivot"), F.col("label").alias("other"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
+            # Cells of a round split those before, so earlier pivots stay pivots: only the new ones have work left.
+            new = pivots if part or before is None else pivots.join(before, ["key", "node"], "left_anti")
+            before = None if part else pivots.select("key", "node")
+            other = new.select("key", F.col("node").alias("pivot"), F.col("label").alias("other"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
             pairs = now.join(other, "key").filter((F.col("label") != F.col("other")) & bound)
             pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
             if tested is not None:
@@ -231,7 +235,7 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
             tested = pairs if tested is None else tested.unionByName(pairs)
             links = stash(verify(pairs, seqs, least))
             # A bucket all of whose members but one have been pivots is done.
-            if step:
+            if not part:
                 used = pivots.groupBy("key").agg(F.count("*").alias("used"))
                 ended = stash(alive.join(used, "key").filter("used >= members - 1").select("key"))
                 finished = ended if finished is None else finished.unionByName(ended)
