@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,9 +37,19 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused by later tasks, and would else keep the peak of this one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Consecutive slices of about `most` bytes of text each (at least one row), with their texts, null as empty.
-    Texts become Python strings one slice at a time, and Arrow's free memory goes back to the system at the end."""
+    Texts become Python strings one slice at a time, and free memory goes back to the system at both ends: before,
+    what the worker's last task left after its own end."""
+    give_back()
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
         start = 0
@@ -47,7 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 2 <
             part = batch.slice(start, end - start)
             yield part, [t or "" for t in part.column(column).to_pylist()]
             start = end
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def map_texts(
