@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by inner product: a neighbour graph by NN-descent, greedy graph search.
 
-The graph is over distinct vectors, lengthened to unit length by one coordinate, so that its neighbours serve
-inner products of vectors of any norm. It starts from blocks of vectors that random projections put next to
-each other; then each round joins every vector's neighbours, in both directions, with each other and keeps
-what improves a list. A query starts at its own vector's neighbours and goes on to the neighbours of the best
-vectors found so far, until none of the best is left unvisited. Every group a task holds has a fixed size."""
+The graph is over the directions of distinct vectors, whatever their norms. It starts from blocks of vectors that
+random projections put next to each other; then each round joins every vector's neighbours, in both directions,
+with each other and keeps what improves a list. A query starts at its own vector's neighbours and at the best of
+the longest vectors, and goes on to the neighbours of the best by inner product found so far, until none of the
+best is left unvisited. Every group a task holds has a fixed size."""
 
 from __future__ import annotations
 
@@ -132,12 +132,15 @@ def build_graph(points: DataFrame, dim: int, n: int, k: int = 32, trees: int = 4
     return graph
 
 
+#: Vectors of largest norm that every query is held against: they lead by inner product in any direction.
+HEAD = 512
+
 STATE = "q long, g long, vec binary, ids binary, scores binary, seen binary, open int"
 
 
-def search(queries: DataFrame, items: DataFrame, graph: DataFrame, k: int = 20, width: int = 160, step: int = 16) -> DataFrame:
-    """q, v: the `width` best items found for each query (q, vec), q being itself an item;
-    vectors are half floats, so scores are near.
+def search(queries: DataFrame, items: DataFrame, graph: DataFrame, head: list, k: int = 20, width: int = 160, step: int = 16) -> DataFrame:
+    """q, v: the `width` best items found for each query (q, vec), q being itself an item; head (u, vec) are the
+    items that every query is held against at its start. Vectors are single floats, so scores are near.
 
     Greedy search over the graph's edges in both directions, `step` unvisited best items a round, until none of
     the `width` best is unvisited."""
@@ -147,31 +150,47 @@ def search(queries: DataFrame, items: DataFrame, graph: DataFrame, k: int = 20,
     n = queries.count()
     if not n:
         return queries.select("q", F.col("q").alias("v"))
+    head_ids, head_vecs = np.array([h["u"] for h in head], "i8"), np.stack([np.frombuffer(h["vec"], "<f4") for h in head])
     groups = max(1, n // 32)
 
-    def advance(state: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        by = {q: (f.x.to_numpy(), np.frombuffer(b"".join(f.xvec), "<f2").reshape(len(f), -1).astype("f4")) for q, f in found.groupby("q")}
+    def advance(state: pd.DataFrame, found: pd.DataFrame, visited: bool) -> pd.DataFrame:
+        by = {q: (f.x.to_numpy(), np.frombuffer(b"".join(f.xvec), "<f4").reshape(len(f), -1)) for q, f in found.groupby("q")}
         rows = []
         for r in state.itertuples():
             ids, scores, seen = (np.frombuffer(x, t) for x, t in ((r.ids, "<i8"), (r.scores, "<f8"), (r.seen, bool)))
             seen = seen.copy()
-            seen[np.flatnonzero(~seen)[:step]] = True
+            if visited:
+                seen[np.flatnonzero(~seen)[:step]] = True
             if r.q in by:
                 x, vec = by[r.q]
                 new = ~np.isin(x, ids)
-                ids, scores, seen = np.concatenate([ids, x[new]]), np.concatenate([scores, vec[new] @ np.frombuffer(r.vec, "<f2").astype("f4")]), np.concatenate([seen, np.zeros(new.sum(), bool)])
+                ids, scores, seen = np.concatenate([ids, x[new]]), np.concatenate([scores, vec[new] @ np.frombuffer(r.vec, "<f4")]), np.concatenate([seen, np.zeros(new.sum(), bool)])
                 best = np.lexsort((ids, -scores))[:width]
                 ids, scores, seen = ids[best], scores[best], seen[best]
             rows.append((r.q, r.g, r.vec, ids.tobytes(), scores.tobytes(), seen.tobytes(), int((~seen).sum())))
         return pd.DataFrame(rows, columns=["q", "g", "vec", "ids", "scores", "seen", "open"])
 
+    def start(state: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        return advance(state, found, False)  # the head is still to be visited
+
+    def go_on(state: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        return advance(state, found, True)
+
     def frontier(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at = [(q, np.frombuffer(i, "<i8")[np.flatnonzero(~np.frombuffer(s, bool))[:step]]) for q, i, s in zip(b.q, b.ids, b.seen, strict=True)]
             yield pd.DataFrame({"q": np.concatenate([np.full(len(u), q, "i8") for q, u in at] or [np.zeros(0, "i8")]), "u": np.concatenate([u for _, u in at] or [np.zeros(0, "i8")])})
 
-    empty = F.lit(b"")
-    state = queries.select("q", F.pmod(F.xxhash64("q"), F.lit(groups)).alias("g"), "vec", empty.alias("ids"), empty.alias("scores"), empty.alias("seen"), F.lit(0).alias("open"))
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for q, g, vec in zip(b.q, b.g, b.vec, strict=True):
+                s = (head_vecs @ np.frombuffer(vec, "<f4")).astype("f8")
+                best = np.lexsort((head_ids, -s))[:width]
+                rows.append((q, g, vec, head_ids[best].tobytes(), s[best].tobytes(), np.zeros(len(best), bool).tobytes(), len(best)))
+            yield pd.DataFrame(rows, columns=["q", "g", "vec", "ids", "scores", "seen", "open"])
+
+    state = queries.select("q", F.pmod(F.xxhash64("q"), F.lit(groups)).alias("g"), "vec").mapInPandas(begin, STATE)
     first = True
     while True:
         if first:  # a query starts at its own item and that item's neighbours
@@ -180,7 +199,7 @@ def search(queries: DataFrame, items: DataFrame, graph: DataFrame, k: int = 20,
         else:
             reached = state.filter("open > 0").mapInPandas(frontier, "q long, u long").join(edges, "u").select("q", F.col("v").alias("u"))
         reached = reached.distinct().join(vectors, F.col("u") == F.col("x")).select("q", "x", "xvec", F.pmod(F.xxhash64("q"), F.lit(groups)).alias("g"))
-        state = stash(state.groupBy("g").cogroup(reached.groupBy("g")).applyInPandas(advance, STATE))
+        state = stash(state.groupBy("g").cogroup(reached.groupBy("g")).applyInPandas(start if first else go_on, STATE))
         first = False
         if state.filter("open > 0").isEmpty():
             break
@@ -202,25 +221,30 @@ def nearest(vectors: DataFrame, k: int = 20, query_if: str = "vec_id % 20 = 0",
     rows = stash(usable(vectors))
     point = rows.groupBy("embedding").agg(F.min("vec_id").alias("u"))
     member = stash(rows.join(point, "embedding").select("vec_id", "u", "embedding"))
-    stats = member.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.max(F.size("embedding")).alias("d"), F.countDistinct("u").alias("n")).first()
+    peak = F.array_max(F.transform("embedding", F.abs))
+    norm = peak * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / peak) * (x / peak)))
+    stats = member.agg(F.max(norm).alias("m"), F.max(F.size("embedding")).alias("d"), F.countDistinct("u").alias("n")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not stats["n"]:
         return rows.sparkSession.createDataFrame([], schema)
-    dim, longest = int(stats["d"]), float(np.sqrt(stats["m"]))
+    dim, longest = int(stats["d"]), float(stats["m"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), "<f8").reshape(-1, dim) / longest
-            unit = np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]], 1).astype("<f2")
-            ask = np.concatenate([x, np.zeros((len(x), 1))], 1).astype("<f2")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in unit], pa.binary()), pa.array([r.tobytes() for r in ask], pa.binary())], names=["u", "vec", "ask"])
+            x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), "<f8").reshape(-1, dim)
+            x /= np.abs(x).max(1, keepdims=True, initial=0)  # so that squares neither vanish nor overflow
+            unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+            norm = b.column(2).to_numpy()
+            item, turned = (unit * (norm / longest)[:, None]).astype("<f4"), unit.astype("<f2")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([r.tobytes() for r in y], pa.binary()) for y in (turned, item, unit.astype("<f4")))], names=["u", "norm", "way", "vec", "ask"])
 
     exact = member.filter("vec_id = u").select("u", "embedding")
-    points = stash(exact.mapInArrow(pack, "u long, vec binary, ask binary"))
-    graph = build_graph(points.select("u", "vec"), dim + 1, int(stats["n"]), degree)
+    points = stash(exact.withColumn("norm", norm).mapInArrow(pack, "u long, norm double, way binary, vec binary, ask binary"))
+    graph = build_graph(points.select("u", F.col("way").alias("vec")), dim, int(stats["n"]), degree)
+    head = points.orderBy(F.desc("norm"), "u").limit(HEAD).select("u", "vec").collect()
     asked = member.filter(query_if).select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
     queries = stash(asked.select("q").distinct().join(points.select(F.col("u").alias("q"), F.col("ask").alias("vec")), "q"))
-    found = search(queries, points.select("u", "vec"), graph, degree, max(width, k + 1))
+    found = search(queries, points.select("u", "vec"), graph, head, degree, max(width, k + 1))
     left, right = exact.select(F.col("u").alias("q"), F.col("embedding").alias("eq")), exact.select(F.col("u").alias("v"), F.col("embedding").alias("ev"))
     product = F.aggregate(F.zip_with("eq", "ev", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     found = found.join(left, "q").join(right, "v").select("q", "v", product.alias("score"))

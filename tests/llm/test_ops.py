@@ -6,6 +6,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
@@ -183,6 +184,20 @@ def test_neighbours_recall(spark):
     assert hit >= 0.9 * n
 
 
+@pytest.mark.parametrize("spread,outlier", [(0.3, 1.0), (0.7, 1.0), (0.1, 1000.0)])
+def test_neighbours_recall_varied_norms(spark, spread, outlier):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 64))[rng.integers(0, 200, 2000)] + rng.normal(size=(2000, 64))
+    x *= (np.exp(rng.normal(size=2000) * spread) / np.linalg.norm(x, axis=1))[:, None]
+    x[7] *= outlier
+    got, hit = ann.nearest(spark.createDataFrame(pd.DataFrame({"vec_id": range(2000), "embedding": x.tolist()}))).toPandas(), 0
+    for i in range(0, 2000, 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(got[got.query_id == i].vec_id))
+    assert hit >= 0.97 * 2000
+
+
 def test_neighbours_odd(spark):
     v = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [0.5, 2.0]), (None, [1.0, 1.0]), (6, [1.0, None]), (7, [1.0, 0.0, 0.0])]
     got = ann.nearest(spark.createDataFrame(v, "vec_id long, embedding array<float>")).orderBy("rank").collect()
