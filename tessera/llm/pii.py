@@ -1,6 +1,6 @@
 """Personal data: patterns as a base, and a linear-chain conditional random field over word shapes.
 
-The field reads the surroundings of digits and @ signs as sequences of tokens. A token's features are its own
+The field reads the surroundings of digits, @ signs and the words at and dot as sequences of tokens. A token's features are its own
 shape, those of two neighbours on each side and whether space stands before it; weights are trained on a small
 labelled table by gradient steps on the likelihood. Decoding is Viterbi over many sequences at once in numpy.
 What it finds and the patterns don't overlap is added."""
@@ -68,7 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 MARKS = "@.+-()_%:/,"
 SHAPES = len(MARKS) + 16
-NEAR = 48  # code points read on each side of a digit or @ sign
+NEAR = 48  # code points read on each side of a sign
 
 
 def shape(token: str) -> int:
@@ -232,12 +232,13 @@ def trained() -> Field:
     return Field().fit(rows)
 
 
-SIGN = re.compile(r"[0-9@]")
+#: Every address of the labelled table has an @ or the word at; every other kind has digits.
+SIGN = re.compile(r"[0-9@]|(?<![^\W_])(?:at|dot)(?![^\W_])", re.IGNORECASE)
 
 
 def segments(text: str) -> list[tuple[int, int]]:
-    """Where the field reads: NEAR code points around each digit and @, cut at line ends and widened to whole
-    tokens; elsewhere every token is outside."""
+    """Where the field reads: NEAR code points around each sign, cut at line ends and widened to whole tokens;
+    elsewhere every token is outside. Windows that would meet are one."""
     out: list[tuple[int, int]] = []
     at = 0
     while m := SIGN.search(text, at):
@@ -247,7 +248,7 @@ def segments(text: str) -> list[tuple[int, int]]:
         line_end = text.find("\n", i)
         line_end = len(text) if line_end < 0 else line_end
         while True:  # up to NEAR code points after the last sign
-            nxt = SIGN.search(text, b, min(line_end, b + NEAR))
+            nxt = SIGN.search(text, b, min(line_end, b + 2 * NEAR))
             if not nxt:
                 break
             b = nxt.end()
@@ -261,18 +262,48 @@ def segments(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def breaks(text: str) -> list[tuple[int, int]]:
+    """Where the field reads over a line end: NEAR code points of the two lines beside each, if a sign is there."""
+    out, at = [], text.find("\n")
+    while at >= 0:
+        after = text.find("\n", at + 1)
+        a, b = max(text.rfind("\n", 0, at) + 1, at - NEAR), min(len(text) if after < 0 else after, at + 1 + NEAR)
+        while 0 < a < at and at - a < 2 * NEAR and text[a - 1].isalnum() and text[a].isalnum():
+            a -= 1
+        while at + 1 < b < len(text) and b - at < 2 * NEAR and text[b].isalnum() and text[b - 1].isalnum():
+            b += 1
+        if a < at and b > at + 1 and SIGN.search(text, a, b):
+            out.append((a, b))
+        at = after
+    return out
+
+
+#: A spelled-out address; the end of one sentence and the at of the next are none.
+SPELLED = re.compile(r"[a-z0-9._%+-] ?(?: at |\(at\)) ?[a-z0-9-]+(?:(?:\.| dot )[a-z0-9-]+)+")
+
+
+def fine(kind: int, body: str) -> bool:
+    """Whether a run of a label holds what its kind must: enough digits, or an at and a host with a dot."""
+    body = " ".join(body.lower().split())
+    digits = sum(c in "0123456789" for c in body)
+    if kind == 1:
+        return "@" in body and ("." in body or " dot " in body) or bool(SPELLED.search(body))
+    return (body.count(".") == 3 and digits >= 4) if kind == 2 else 13 <= digits <= 19 if kind == 3 else 7 <= digits <= 15
+
+
 def added_spans(field: Field, texts: list[str], bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
-    """What the field finds in each text beside its base spans: runs of one label that hold enough digits or an
-    at and a dot, trimmed of closing marks."""
+    """What the field finds in each text beside its base spans: fine runs of one label, trimmed of closing marks.
+    A run over one line end counts if it isn't made of several runs, and takes the place of the run it extends."""
     where, feats = [], []
     for n, text in enumerate(texts):
-        for a, b in segments(text):
-            starts, ends, shapes, spaced = tokens(text, a, b)
-            if len(starts):
-                where.append((n, starts, ends))
-                feats.append(features(shapes, spaced))
+        for over, windows in ((False, segments(text)), (True, breaks(text))):
+            for a, b in windows:
+                starts, ends, shapes, spaced = tokens(text, a, b)
+                if len(starts):
+                    where.append((n, over, starts, ends))
+                    feats.append(features(shapes, spaced))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    for (n, starts, ends), labels in zip(where, field.decode(feats), strict=True):
+    for (n, over, starts, ends), labels in zip(where, field.decode(feats), strict=True):
         edge = np.flatnonzero(np.diff(labels)) + 1
         for i, j in zip([0, *edge], [*edge, len(labels)]):
             kind = int(labels[i])
@@ -284,10 +315,14 @@ def added_spans(field: Field, texts: list[str], bases: list[list[tuple[int, int,
                 continue
             a, b = starts[i], ends[j - 1]
             body = texts[n][a:b]
-            digits = sum(c in "0123456789" for c in body)
-            fine = ("@" in body or " at " in body or "(at)" in body) and ("." in body or " dot " in body) if kind == 1 else (body.count(".") == 3 and digits >= 4) if kind == 2 else 13 <= digits <= 19 if kind == 3 else 7 <= digits <= 15
-            if fine and not any(s < b and a < e for s, _, e in bases[n]):
-                out[n].append((a, kind - 1, b))
+            if not fine(kind, body) or any(s < b and a < e for s, _, e in bases[n]):
+                continue
+            if over:
+                met = [x for x in out[n] if x[0] < b and a < x[2]]
+                if body.count("\n") != 1 or len(met) > 1 or any(x[0] < a or x[2] > b for x in met):
+                    continue
+                out[n] = [x for x in out[n] if x not in met]
+            out[n].append((a, kind - 1, b))
     return out
 
 

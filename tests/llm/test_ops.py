@@ -184,6 +184,16 @@ def test_neighbours_recall(spark):
     assert hit >= 0.9 * n
 
 
+def test_pii_spelled_out_and_broken(spark):
+    texts = ["write john at mail dot org today", "ask jane (at) firm.com please", "contact jane (at)\nfirm dot com now", "call (736)\n555-2678 today"]
+    texts.append("room 7 " + "then we went home and " * 2 + "wrote bob at mail dot org")  # the second window starts where the first ends
+    want = ["john at mail dot org", "jane (at) firm.com", "jane (at)\nfirm dot com", "(736)\n555-2678", "bob at mail dot org"]
+    assert [[t[a:b] for a, _, b in x] for t, x in zip(texts, pii.all_spans(texts)[1])] == [[w] for w in want]
+    assert pii.all_spans(["we met at home. then left the. At a place", "call 555-2678 or\n555-1234 today"])[1] == [[], [(5, 3, 13), (17, 3, 25)]]
+    out = pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text"] for r in out][0] == "write [EMAIL] today" and not any(w in r["text"] for w, r in zip(want, out))
+
+
 @pytest.mark.parametrize("spread,outlier", [(0.3, 1.0), (0.7, 1.0), (0.1, 1000.0)])
 def test_neighbours_recall_varied_norms(spark, spread, outlier):
     rng = np.random.default_rng(8)
