@@ -115,3 +115,17 @@ def test_store_and_streams(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, text string").parquet(src)
     limits.ingest(stream, out, str(tmp_path / "cp"), lambda b: b.withColumn("text", tx.clean_text(F.col("text")))).awaitTermination(120)
     assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["a\n\nb", "c"]
+
+
+def test_title_suffix_asks_every_part(spark, tmp_path):
+    names = ["green", "misty green", "misty greens", "rose", "specification", "a specification", "lace misty green", ""]
+    spark.createDataFrame(list(enumerate(names, 40)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    want = {}
+    for q, asked in enumerate(names, 40):
+        for p, title in enumerate(names, 40):
+            n = max((k for k in range(5, len(title) + 1) if title[-k:] in f"{asked} specification"), default=0)
+            want |= {(q, p): n} if n else {}
+    whole = {(r["query_id"], r["p_partkey"]): r["n"] for r in core.QUERIES["title_suffix_match_all"](spark, str(tmp_path)).collect()}
+    assert whole == want
+    parts = spark.read.parquet(f"{DIR}/part.parquet")
+    assert core.QUERIES["title_suffix_match_all"](spark, DIR).select("query_id").distinct().count() == parts.filter("length(p_name) >= 5").count() > 50
