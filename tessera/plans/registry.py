@@ -439,6 +439,13 @@ def prompt_assembly(spark, d):
     return T(spark, d, "documents").select("doc_id", dc.prompt(F.concat(F.lit("q"), "doc_id"), e).alias("prompt"))
 
 
+@query("SELECT d.doc_id, 'EVIDENCE' || chr(10) || '[1] ' || source || chr(10) || coalesce(text, '') || chr(10) || '[2] ' || lang || chr(10) || coalesce(text, '') || chr(10) || 'HISTORY' || chr(10) || chr(10) || 'QUESTION' || chr(10) || 'q' || d.doc_id AS prompt FROM documents d")
+def prompt_assembly_whole(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    e = F.array(*(F.struct(F.col(c).alias("source"), text.alias("content")) for c in ("source", "lang")))
+    return T(spark, d, "documents").select("doc_id", dc.prompt(F.concat(F.lit("q"), "doc_id"), e).alias("prompt"))
+
+
 # ---------------------------------------------------------------- statistics and limits
 
 
