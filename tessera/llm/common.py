@@ -94,8 +94,24 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch, list[st
 BROADCAST_IDS = 4_000_000
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in dropped, without moving texts as long as dropped is of bounded size."""
-    dropped = stash(dropped.select("doc_id").distinct())
+def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs less the rows whose key is in dropped, without moving texts as long as dropped is of bounded size."""
+    dropped = stash(dropped.select(key).distinct())
     few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(dropped) if few else dropped, key, "left_anti").select(*docs.columns)
+
+
+def keep_decided(docs: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs less the rows that decide(docs) (doc_id, kept) doesn't keep. Rows of a null or repeated doc_id are
+    decided one by one, under numbers above all ids; only for them are the rows written once more."""
+    odd = stash(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id IS NULL OR n > 1").select("doc_id"))
+    n = odd.count()
+    if not n:
+        return without(docs, decide(docs).filter("not kept"))
+    again = odd.filter("doc_id IS NOT NULL").withColumn("_again", F.lit(True))
+    above = (docs.agg(F.max("doc_id").alias("m")).first()["m"] or 0) + 1
+    rows = docs.join(F.broadcast(again) if n <= BROADCAST_IDS else again, "doc_id", "left")
+    own = F.when(F.col("doc_id").isNull() | F.col("_again"), F.monotonically_increasing_id() + above).otherwise(F.col("doc_id"))
+    rows = stash(rows.withColumn("_row", own).select(*docs.columns, "_row"))
+    marked = decide(rows.select(F.col("_row").alias("doc_id"), "text")).filter("not kept")
+    return without(rows, marked.select(F.col("doc_id").alias("_row")), "_row").select(*docs.columns)

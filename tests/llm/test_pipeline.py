@@ -29,3 +29,15 @@ def test_stages(spark):
 def test_registered():
     q = entry.queries()
     assert "pipeline" in q and all(any(x.startswith(f"op{n}_") for x in q) for n in range(1, 11))
+
+
+def test_null_and_reused_ids(spark):
+    words = [f"w{i}" for i in range(120)]
+    near = " ".join([*words[:119], "other"])
+    rows = [(1, "a b"), (None, "a b"), (None, "a b"), (None, "only here"), (2, "a b"), (2, "clean and unique"), (3, " ".join(words))]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
+    left = cp.drop_copies(spark, docs, DIR)
+    assert left.columns == docs.columns and sorted(r["text"] for r in left.collect()) == sorted({t for _, t in rows})
+    assert [r["doc_id"] for r in left.filter("text = 'a b'").collect()] == [1]
+    more = left.unionByName(spark.createDataFrame([(None, near, "x"), (2, near, "x")], docs.schema))
+    assert sorted(r["text"] for r in cp.drop_near_copies(spark, more, DIR).collect()) == sorted({t for _, t in rows})
