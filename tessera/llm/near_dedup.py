@@ -3,18 +3,21 @@
 A text is its sequence of word 5-grams, each labelled with its occurrence number, so repeats count. One sketch
 takes the few labelled k-mers with the smallest hashes under one permutation and keeps them in text order: two
 texts share it with a chance that falls with their edit distance, not only with their sets. Bands of sketches
-are the bucket keys. Equal texts are one node from the start.
-
-A bucket's pairs are never listed: round by round, pivots (one at first, eight times as many each round) are
-held against those members of their buckets that aren't yet in the same component, until every bucket is one
-component or all its members were pivots. A large group of near copies so costs one comparison a member. For
-buckets of texts that share much but not enough, each text has a parity signature: bit i tells if an odd number
-of its labelled k-mers fall into cell i. Two texts differ in at least as many k-mers as their signatures differ
-in bits, so a pair whose signatures differ too much is no link and leaves the join at once. Neither rule loses
-a link between different texts of a bucket.
+are the bucket keys; texts of few k-mers have a prefix of their smallest k-mers as keys besides, which no
+similar pair can miss. Equal texts are one node from the start, numbered by one of its rows.
+
+A bucket's pairs are never listed as such. At first every member is held against its bucket's smallest number
+only, so a large group of near copies costs one comparison a member and bucket. Buckets that aren't one component
+then go on in rounds: pivots (all members of a small bucket, a growing number of a large one) are held against
+members of other components, until every bucket is one component or all its members were pivots. For buckets of
+texts that share much but not enough, each text has a parity signature: bit i tells if an odd number of its
+labelled k-mers fall into cell i. Two texts differ in at least as many k-mers as their signatures differ in
+bits, so a pair whose signatures differ too much is no link and leaves the join at once. Neither rule loses a
+link between different texts of a bucket.
 
 A pair is verified by alignment: the longest chain of common labelled k-mers in the same order in both texts,
-within a band of diagonals that holds every alignment of the wanted similarity."""
+within a band of diagonals that holds every alignment of the wanted similarity. Words are compared by 32-bit
+checksums: texts whose words differ but collide count as alike there (2e-10 a pair of words)."""
 
 from __future__ import annotations
 
@@ -28,16 +31,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import slices, stash, table
+from .common import free, part_of, slices, stash, table
 
 K, TAKE, ROWS, BANDS, SIMILAR = 5, 3, 2, 32, 0.8
-WORDS = re.compile(r"\w+").findall
+#: A word; in scripts that don't space their words (kana, ideographs, Thai to Khmer) a character.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORDS = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+").findall
 CELLS = 16  # words of 64 bits in a parity signature
+SHORT = 15  # k-mers up to which a text has exact keys
+PIVOTS = 16  # of a bucket in the first round after the smallest; buckets of up to as many members are all pivots
 GROWTH = 8  # of pivots from round to round
-ROUNDS = ((0, 2), (2, 4), (4, 8), (8, 16), (16, 32))  # bands of the rounds before all: what they link isn't met again
 SKETCH = "doc_id long, node binary, bands array<long>, n int, sig array<long>, words binary"
-#: Nodes are 16 bytes; a semi join sends them to all executors up to this many (about 100 MB), else it shuffles.
-BROADCAST_NODES = 2_000_000
+#: Rows of at most 24 bytes that are sent to all executors (5 MB), and texts' signatures (about 150 bytes); more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_SIGNATURES = 200_000, 40_000
 
 _rng = np.random.default_rng(20)
 XOR = _rng.integers(0, 2**32, ROWS * BANDS, np.uint32)[:, None]
@@ -70,6 +76,16 @@ def kmers(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def exact_keys(marks: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """Keys of a text of up to SHORT k-mers: of any two that are `least` similar, the prefixes of the smallest
+    n - ceil(least * n) + 1 k-mers have one in common."""
+    n = len(marks)
+    if not n or n > SHORT:
+        return np.zeros(0, np.int64)
+    prefix = n - int(np.ceil(least * n - 1e-9)) + 1
+    return mix(np.sort(marks)[:prefix] + np.uint64(0x51ED270B)).view(np.int64)
+
+
 def bands(marks: np.ndarray) -> np.ndarray:
     """Bucket keys of a text's labelled k-mers."""
     n = len(marks)
@@ -135,7 +151,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     return s if s >= least else 0.0
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     """doc_id, node (digest of the word sequence, or of the text if it has no word), bands, words (hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +168,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 words = np.array([memo[w] for w in found], "<u4")
                 own = kmers(words)
                 nodes.append(hashlib.blake2b(" ".join(found).encode("utf-8", "replace") if found else b"\0" + t.encode("utf-8", "replace"), digest_size=16).digest())
-                marks.append(bands(own))
+                marks.append(np.concatenate([bands(own), exact_keys(own, least)]))
                 sizes.append(len(own))
                 sigs.append(signature(own))
                 seqs.append(words.tobytes())
@@ -161,32 +177,108 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
-def verify(pairs: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar; seqs: node, words."""
-    one, two = seqs.select(F.col("node").alias("a"), F.col("words").alias("wa")), seqs.select(F.col("node").alias("b"), F.col("words").alias("wb"))
+def few(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked to be sent to all executors if its counted rows are few enough."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than so many rows need: a small table isn't written in hundreds of files."""
+    return df.coalesce(1 + rows // 10_000) if rows < 1_000_000 else df
+
+
+def verify(pairs: DataFrame, seqs: DataFrame, n: int, least: float) -> DataFrame:
+    """The pairs (a, b) that are similar; seqs: id, n, sig, words of n texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 256) for b in batches for i in range(0, len(b), 256)):
             keep = [similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) > 0 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a binary, b binary")
+    one, two = seqs.select(F.col("id").alias("a"), F.col("words").alias("wa")), seqs.select(F.col("id").alias("b"), F.col("words").alias("wb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label of every node in edges (a, b): the smallest node of its component. Each step takes the
-    smallest label around a node and then that label's own label, until nothing changes."""
-    both = stash(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+def may_pass(pairs: DataFrame, seqs: DataFrame, n: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose signatures allow a link."""
+    one = seqs.select(F.col("id").alias("a"), "n", "sig")
+    two = seqs.select(F.col("id").alias("b"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
+    both = pairs.join(few(one, n, BROADCAST_SIGNATURES), "a").join(few(two, n, BROADCAST_SIGNATURES), "b")
+    return both.filter(may_link(least)).select("a", "b")
+
+
+def components(edges: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """id, label of every node in n edges (a, b), and their number: label is the smallest node of a component.
+    Each step takes the smallest label around a node and then that label's own label, until nothing changes."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m"))
+    labels = stash(dealt(first.select("id", F.least("id", "m").alias("label")), 2 * n))
+    size = labels.count()
+    while True:
+        old = labels
+        near = both.join(few(labels.select(F.col("id").alias("b"), "label"), size), "b").select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("old"))
+        new = near.unionByName(labels.withColumn("old", F.col("label"))).groupBy("id").agg(F.min("label").alias("label"), F.min("old").alias("old"))
+        new = stash(dealt(new, 2 * n))
+        up = new.select(F.col("id").alias("label"), F.col("label").alias("top"))
+        labels = stash(dealt(new.join(few(up, size), "label").select("id", F.least("label", "top").alias("label"), "old"), 2 * n))
+        done = labels.filter("label <> old").isEmpty()
+        free(old, new)
+        labels = part_of(labels, "id", "label")
+        if done:
+            return labels, size
+
+
+def rounds(open_: DataFrame, seqs: DataFrame, n: int, least: float) -> tuple[DataFrame, int] | None:
+    """id, label of all texts that links join to others (and their number), None without links; open_: key, id of
+    the buckets with several texts, seqs: id, n, sig, words of these n texts."""
+    least_id = open_.groupBy("key").agg(F.min("id").alias("p"))
+    pairs = open_.join(least_id, "key").filter("id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
+    passed = stash(may_pass(pairs, seqs, n, least))
+    links = stash(verify(passed, seqs, n, least))
+    free(passed)
+    found, known, cells = links.count(), None, PIVOTS
+    if found:
+        known = components(links, found)
+    free(links)
+    done = None  # (key, id) of former pivots of the buckets that are left
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
-        new = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("new"), F.col("label").alias("old"))
-        new = stash(new)
-        up = new.select(F.col("node").alias("new"), F.col("new").alias("top"))
-        jumped = stash(new.join(up, "new").select("node", F.least("new", "top").alias("label"), "old"))
-        if jumped.filter("label <> old").isEmpty():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", "label")
+        now = open_
+        if known:
+            label, size = known
+            now = now.join(few(label, size), "id", "left")
+        now = now.select("key", "id", (F.coalesce("label", "id") if known else F.col("id")).alias("label"))
+        alive = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.min("id").alias("p"))
+        alive = alive.filter("lo <> hi" + (f" AND members > {cells // GROWTH}" if cells > PIVOTS else "")).select("key", "members", "p")
+        alive = stash(alive)
+        if not (n_alive := alive.count()):
+            free(alive)
+            return known
+        sigs = seqs.select("id", "n", "sig")
+        now = stash(now.join(few(alive, n_alive), "key").join(few(sigs, n, BROADCAST_SIGNATURES), "id").select("key", "id", "label", "n", "sig", "members", "p"))
+        # Cells of a round split those before, so earlier pivots stay pivots: only the new ones have work left.
+        cell = F.when(F.col("members") <= cells, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(cells)))
+        pivots = now.filter("id <> p").groupBy("key", cell.alias("cell")).agg(F.min(F.struct("id", "label", "n", "sig")).alias("v"))
+        pivots = stash(pivots.select("key", F.col("v.id").alias("pivot"), F.col("v.label").alias("other"), F.col("v.n").alias("pn"), F.col("v.sig").alias("psig")))
+        fresh = pivots if done is None else pivots.join(done, ["key", "pivot"], "left_anti")
+        # Where all are pivots, a pair is met from one side only.
+        one_way = (F.col("members") > cells) | (F.col("pivot") < F.col("id"))
+        pairs = now.join(fresh, "key").filter((F.col("label") != F.col("other")) & one_way & may_link(least))
+        pairs = pairs.select(F.greatest("id", "pivot").alias("a"), F.least("id", "pivot").alias("b")).distinct()
+        links = stash(verify(pairs, seqs, n, least))
+        new = links.count()
+        if done is not None:
+            free(done)
+        done = stash(pivots.join(few(alive.filter(F.col("members") > cells).select("key"), n_alive), "key").select("key", "pivot"))
+        free(pivots, now, alive)
+        if new:
+            edges = links
+            if known:
+                edges = edges.unionByName(label.select(F.col("id").alias("a"), F.col("label").alias("b")))
+            before, known = known, components(edges, new + (size if known else 0))
+            if before:
+                free(before[0])
+        free(links)
+        cells *= GROWTH
 
 
 def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -195,61 +287,29 @@ def near_classes(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
     Documents are in one class when a chain of pairs links them, each equal in words or at least `least`
     similar on aligned word 5-grams. class_id is the smallest doc_id of the class (null if all are null), and
     that row is kept; repeated rows with that doc_id are all kept. Texts without words are equal only if
-    identical; null text counts as empty; shorter texts than 5 words are one k-mer."""
-    every = stash(sketch(docs))
-    nodes = every.select("node", "bands").dropDuplicates(["node"])
-    members = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
-    members = stash(members)
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    open_ = stash(members.join(shared, "key").select("key", "band", "node"))
-    candidates = stash(open_.select("node").distinct())
-    n = candidates.count()
+    identical; null text counts as empty; shorter texts than 5 words are one k-mer; an empty table gives no rows.
+    What it writes goes as soon as it isn't needed any more; the classes stay in the shared folder."""
+    every = stash(sketch(docs, least).withColumn("row", F.monotonically_increasing_id()))
+    nodes = stash(every.select("node", F.col("row").alias("id"), "bands").dropDuplicates(["node"]))
+    members = nodes.select(F.explode("bands").alias("key"), "id")
+    shared = members.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    open_ = stash(members.join(shared, "key").select("key", "id"))
+    ids = stash(open_.select("id").distinct())
+    n = ids.count()
     owner = every.select("doc_id", "node")
+    known = seqs = None
     if n:
-        wanted = F.broadcast(candidates) if n <= BROADCAST_NODES else candidates
-        seqs = stash(every.select("node", "n", "sig", "words").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-        label, tested, finished, before, step = seqs.select("node", F.col("node").alias("label"), "n", "sig"), None, None, None, 0
-        bound = may_link(least)
-        while True:
-            part = ROUNDS[step] if step < len(ROUNDS) else None
-            scope = open_.filter(F.col("band").between(part[0], part[1] - 1)) if part else open_
-            now = stash(scope.join(label, "node").select("key", "band", "node", "label", "n", "sig"))
-            alive = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("key", "members")
-            if finished is not None:
-                alive = alive.join(finished, "key", "left_anti")
-            alive = stash(alive)
-            now = stash(now.join(alive, "key"))
-            if not part and now.isEmpty():
-                break
-            cell = F.pmod(F.xxhash64("node"), F.lit(GROWTH ** max(0, step - len(ROUNDS) + 1)))
-            pivots = stash(now.groupBy("key", cell.alias("cell")).agg(F.min(F.struct("node", "label", "n", "sig")).alias("p")).select("key", "p.*"))
-            # Cells of a round split those before, so earlier pivots stay pivots: only the new ones have work left.
-            new = pivots if part or before is None else pivots.join(before, ["key", "node"], "left_anti")
-            before = None if part else pivots.select("key", "node")
-            other = new.select("key", F.col("node").alias("pivot"), F.col("label").alias("other"), F.col("n").alias("pn"), F.col("sig").alias("psig"))
-            pairs = now.join(other, "key").filter((F.col("label") != F.col("other")) & bound)
-            pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = stash(pairs)
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            links = stash(verify(pairs, seqs, least))
-            # A bucket all of whose members but one have been pivots is done.
-            if not part:
-                used = pivots.groupBy("key").agg(F.count("*").alias("used"))
-                ended = stash(alive.join(used, "key").filter("used >= members - 1").select("key"))
-                finished = ended if finished is None else finished.unionByName(ended)
-                open_ = now.select("key", "band", "node")
-            if not links.isEmpty():
-                x, y = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-                merged = components(links.join(x, "a").join(y, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-                merged = merged.select(F.col("node").alias("label"), F.col("label").alias("top"))
-                label = stash(label.join(merged, "label", "left").select("node", F.coalesce("top", "label").alias("label"), "n", "sig"))
-            step += 1
-        owner = owner.join(label, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
+        seqs = stash(every.select(F.col("row").alias("id"), "n", "sig", "words").join(few(ids, n, 10 * BROADCAST_ROWS), "id", "left_semi"))
+        known = rounds(open_, seqs, n, least)
+    # A class is named by the label of its component (8 bytes), or by the digest of its only text (16 bytes).
+    if known:
+        label, size = known
+        named = nodes.select("id", "node").join(few(label, size), "id").select("node", F.unhex(F.lpad(F.hex("label"), 16, "0")).alias("label"))
+        owner = owner.join(few(named, size), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     else:
         owner = owner.select("doc_id", F.col("node").alias("label"))
     owner = stash(owner)
+    free(every, nodes, open_, ids, *([seqs] if seqs is not None else []), *([known[0]] if known else []))
     classes = owner.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return owner.join(classes, "label").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
