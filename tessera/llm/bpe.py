@@ -3,7 +3,9 @@
 A merge can depend on text to its right only through a chain of earlier merges, each of which starts where
 the one before it ends. From the merge list follows how far such a chain reaches at most: the sufficient
 lookahead. A token that ends at least that far before the end of what has been read is final, and the rest
-of the text is encoded as if it began there. So memory stays constant however long a word is."""
+of the text is encoded as if it began there. Every word, of any length, goes through this machine; a word that
+goes on in the next block of text stays open in it, so memory stays constant however long a word is. A memo of
+bounded size keeps what the machine gave for short words."""
 
 from __future__ import annotations
 
@@ -13,6 +15,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import regex
@@ -73,7 +76,9 @@ class MergeList:
         return most
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Apply merges by rank, leftmost first. Ranks of neighbours are kept; a merge changes two of them."""
+        """Apply merges by rank, leftmost first. Few symbols: the best of all ranks is looked up; many: it comes from a heap."""
+        if len(ids) > 48:
+            return self._merge_heap(ids)
         get, rules = self.rank.get, self.rules
         ranks = [get(p, NONE) for p in zip(ids, ids[1:])]
         while ranks and (best := min(ranks)) < NONE:
@@ -86,11 +91,37 @@ class MergeList:
                 ranks[i] = get((new, ids[i + 1]), NONE)
         return ids
 
+    def _merge_heap(self, ids: list[int]) -> list[int]:
+        """The same in n log n steps: places stay, neighbours are linked, and a stale entry no longer has its rank."""
+        get, rules, n = self.rank.get, self.rules, len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        now = [get(p, NONE) for p in zip(ids, ids[1:])] + [NONE]
+        heap = [r * n + i for i, r in enumerate(now) if r < NONE]
+        heapify(heap)
+        while heap:
+            rank, i = divmod(heappop(heap), n)
+            if now[i] != rank:
+                continue
+            j = after[i]
+            ids[i], ids[j], now[j] = rules[rank][2], -1, NONE
+            after[i] = k = after[j]
+            now[i] = NONE
+            if k < n:
+                before[k] = i
+                if (r := get((ids[i], ids[k]), NONE)) < NONE:
+                    now[i] = r
+                    heappush(heap, r * n + i)
+            if (h := before[i]) >= 0:
+                now[h] = r = get((ids[h], ids[i]), NONE)
+                if r < NONE:
+                    heappush(heap, r * n + h)
+        return [x for x in ids if x >= 0]
+
 
 class WordEncoder:
     """One word, fed in byte chunks: tokens come out as soon as they're final."""
 
-    def __init__(self, merges: MergeList, block: int = 256) -> None:
+    def __init__(self, merges: MergeList, block: int = 4096) -> None:
         self.m, self.block, self.held = merges, block, b""
 
     def feed(self, data: bytes) -> Iterator[int]:
@@ -120,7 +151,8 @@ class Transducer:
     """Text chunks -> ids, as bytes of little-endian unsigned 32-bit numbers.
 
     Follows the file's steps: special strings are taken out first; NFC and lower case; words by pattern; byte
-    symbols; merges. Words up to `short` bytes are looked up in a memo of bounded size, longer ones stream."""
+    symbols; merges. Text is cut where neither normal form nor a special string nor a clitic can reach over; a run
+    of letters or of marks that touches the cut stays open in its WordEncoder."""
 
     def __init__(self, path: str, memo: int = 150_000, short: int = 64) -> None:
         self.m, self.memo_size, self.short = merges(path), memo, short
@@ -130,70 +162,102 @@ class Transducer:
         pattern = self.m.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE)
         self.words = regex.compile(pattern).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.m.special, key=len, reverse=True)))) if self.m.special else None
+        self.reach = max(map(len, self.m.special), default=0)
+        # How a run goes on: letters, or what is neither letter, digit nor space.
+        self.more = {True: regex.compile(r"\p{L}+"), False: regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]+")}
         self.memo: dict[str, bytes] = {}
-        # Text whose last special string or combined character may still be open is held back to a safe cut.
-        self.held = ""
-        self.cut = regex.compile(r"(?<=[A-Za-z0-9.,])\s(?=[A-Za-z])")
+        self.held, self.open, self.letters = "", None, False
+
+    @staticmethod
+    def _ids(tokens: Iterable[int]) -> bytes:
+        return np.fromiter(tokens, "<u4").tobytes()
 
     def _word(self, w: str) -> bytes:
-        data = w.encode("utf-8", "replace")
-        if len(data) > self.short:
-            enc, step = WordEncoder(self.m), 1 << 16
-            ids = [t for k in range(0, len(data), step) for t in enc.feed(data[k : k + step])]
-            ids += enc.finish()
-        else:
-            inner = self.m.inner
-            ids = self.m.merge([*[inner[b] for b in data[:-1]], self.m.last[data[-1]]])
-        out = np.array(ids, "<u4").tobytes()
+        coder, data = WordEncoder(self.m), w.encode("utf-8", "replace")
+        out = self._ids([*coder.feed(data), *coder.finish()])
         if len(data) <= self.short:
             if len(self.memo) >= self.memo_size:
                 self.memo.clear()
             self.memo[w] = out
         return out
 
+    def _close(self) -> bytes:
+        coder, self.open = self.open, None
+        return self._ids(coder.finish()) if coder else b""
+
     def _plain(self, text: str) -> bytes:
+        """Ids of the words of a piece, all but a run that touches its end and may go on."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library has no final sigma
-        found = self.words(text.lower())
+        text, out = text.lower(), []
+        if self.open and text:
+            m = self.more[self.letters].match(text)
+            if m:
+                out.append(self._ids(self.open.feed(m.group().encode("utf-8", "replace"))))
+                text = text[m.end() :]
+            if text:
+                out.append(self._close())
+        found = self.words(text)
+        last = found.pop() if found and text.endswith(found[-1]) else None
         memo, word = self.memo, self._word
-        return b"".join([memo.get(w) or word(w) for w in found])
+        out += [memo.get(w) or word(w) for w in found]
+        if last is not None:
+            kind = bool(self.more[True].fullmatch(last))
+            if kind or self.more[False].fullmatch(last):
+                self.open, self.letters = WordEncoder(self.m), kind
+                out.append(self._ids(self.open.feed(last.encode("utf-8", "replace"))))
+            else:
+                out.append(memo.get(last) or word(last))
+        return b"".join(out)
 
     def _encode(self, text: str) -> bytes:
-        if self.special is None or not (self.special.search(text) if "<|" in text else None):
+        if self.special is None or "<|" not in text:
             return self._plain(text)
         out, at = [], 0
         for x in self.special.finditer(text):
-            out += [self._plain(text[at : x.start()]), np.uint32(self.m.special[x.group()]).astype("<u4").tobytes()]
+            out += [self._plain(text[at : x.start()]), self._close(), self._ids([self.m.special[x.group()]])]
             at = x.end()
         return b"".join([*out, self._plain(text[at:])])
 
+    def _cut(self, text: str) -> int:
+        """The last place, at least a special string's length before the end, where the text can be cut; 0 if none
+        is near (in a long run of combining marks)."""
+        i = len(text) - self.reach
+        least = max(0, i - 4096)
+        while i > least:
+            open_special = text.rfind("<|", max(0, i - self.reach), i + 1)
+            if open_special >= 0:
+                i = open_special
+            elif "'" in text[max(0, i - 3) : i] or not starts_new(text[i]):
+                i -= 1
+            else:
+                return i
+        return 0
+
     def feed(self, chunk: str) -> bytes:
-        """Ids of all words that this chunk completes."""
+        """Ids that this chunk makes final."""
         self.held += chunk
-        at = None
-        for x in self.cut.finditer(self.held, max(0, len(self.held) - 4096)):
-            at = x.start()
-        if at is None and (x := self.cut.search(self.held)):
-            at = x.start()
-        if at is None:
-            return b""
+        at = self._cut(self.held)
         done, self.held = self.held[:at], self.held[at:]
-        return self._encode(done)
+        return self._encode(done) if done else b""
 
     def finish(self) -> bytes:
         done, self.held = self.held, ""
-        return self._encode(done) if done else b""
+        return self._encode(done) + self._close()
 
     def stream(self, text: str, block: int = 1 << 16) -> Iterator[bytes]:
         """Ids of a whole text, block by block."""
-        if len(text) <= block:
-            yield self._encode(text)
-            return
         for k in range(0, len(text), block):
             yield self.feed(text[k : k + block])
         yield self.finish()
 
 
+def starts_new(c: str) -> bool:
+    """Whether no normal form joins the character to one before it: letters (but conjoining Hangul), digits,
+    punctuation and spaces; not marks."""
+    return c < "\x80" or (unicodedata.category(c)[0] in "LNPZ" and not ("\u1100" <= c <= "\u11ff" or "\ua960" <= c <= "\ua97f" or "\ud7b0" <= c <= "\ud7ff"))
+
+
 @lru_cache(maxsize=4)
 def merges(path: str) -> MergeList:
     return MergeList(path)
