@@ -16,22 +16,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import stash, table
 
-#: A winner is the row with the most code points, then the smallest doc_id; a null doc_id comes last.
+#: A winner is the row with the most code points, then the smallest doc_id (null last), then the first of equal rows.
 GAMMA, LEVELS = 2.0, 40
-SHARD_SCHEMA = "shard int, sizes binary, cells binary, slots binary, keep binary, has binary, n binary"
+SHARD_SCHEMA = "shard int, sizes binary, cells binary, slots binary, keep binary, has binary, n binary, place binary"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest binary(32) of the text without ASCII white space, n_cp code points of the original."""
+    """doc_id, digest binary(32) of the text without ASCII white space, n_cp code points of the original, row number."""
     text = F.coalesce("text", F.lit(""))
     bare = F.regexp_replace(text, "[\\x20\\x09-\\x0D]", "")
-    return docs.select("doc_id", F.unhex(F.sha2(bare.cast("binary"), 256)).alias("digest"), F.length(text).cast("long").alias("n_cp"))
+    return docs.select("doc_id", F.unhex(F.sha2(bare.cast("binary"), 256)).alias("digest"), F.length(text).cast("long").alias("n_cp"), F.monotonically_increasing_id().alias("row"))
 
 
 def group_digests(rows: DataFrame) -> DataFrame:
-    """digest, keep_id, group_size: one partial aggregate, so a hot digest is one row per map task."""
-    best = F.max(F.struct("n_cp", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus")))
-    return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).select("digest", (-F.col("best.minus")).alias("keep_id"), "group_size")
+    """digest, keep_id, keep_row, group_size: one partial aggregate, so a hot digest is one row per map task."""
+    # ~x turns the order of longs round, for the smallest one too.
+    best = F.max(F.struct("n_cp", F.col("doc_id").isNotNull().alias("known"), F.bitwise_not("doc_id").alias("minus"), F.bitwise_not("row").alias("minus_row")))
+    return rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).select("digest", F.bitwise_not("best.minus").alias("keep_id"), F.bitwise_not("best.minus_row").alias("keep_row"), "group_size")
 
 
 def _cells(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -97,20 +98,21 @@ def shard_of(n: int) -> F.Column:
 
 
 def build_index(history: DataFrame, n_shards: int) -> DataFrame:
-    """One row per shard of history (digest, keep_id, group_size; digests distinct)."""
+    """One row per shard of history (digest, keep_id, keep_row, group_size; digests distinct)."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         index, slot = PerfectHash.build(_words(b"".join(pdf.digest)))
-        keep, has, n = (np.zeros(len(pdf), t) for t in ("<i8", bool, "<i8"))
+        keep, has, n, place = (np.zeros(len(pdf), t) for t in ("<i8", bool, "<i8", "<i8"))
+        place[slot] = pdf.keep_row.fillna(-1).astype("int64")
         known = pdf.keep_id.notna().to_numpy()
         keep[slot[known]], has[slot], n[slot] = pdf.keep_id[known].astype("int64"), known, pdf.group_size
-        return pd.DataFrame({"shard": [int(pdf.shard.iloc[0])], "sizes": [index.sizes.tobytes()], "cells": [np.packbits(index.cells).tobytes()], "slots": [index.slots.tobytes()], "keep": [keep.tobytes()], "has": [has.tobytes()], "n": [n.tobytes()]})
+        return pd.DataFrame({"shard": [int(pdf.shard.iloc[0])], "sizes": [index.sizes.tobytes()], "cells": [np.packbits(index.cells).tobytes()], "slots": [index.slots.tobytes()], "keep": [keep.tobytes()], "has": [has.tobytes()], "n": [n.tobytes()], "place": [place.tobytes()]})
 
     return history.withColumn("shard", shard_of(n_shards)).groupBy("shard").applyInPandas(build, SHARD_SCHEMA)
 
 
 def lookup(rows: DataFrame, index: DataFrame, n_shards: int, most_rows: int) -> DataFrame:
-    """rows (doc_id, digest, n_cp) with keep_id and group_size, null where the index lacks the digest, and
+    """rows (doc_id, digest, n_cp, row) with keep_id, keep_row and group_size, null where the index lacks the digest, and
     member. Every (shard, split) group holds about most_rows rows: a shard with a hot digest is dealt into as
     many splits as it needs and its index row is repeated for each."""
     rows = rows.withColumn("shard", shard_of(n_shards))
@@ -119,10 +121,10 @@ def lookup(rows: DataFrame, index: DataFrame, n_shards: int, most_rows: int) ->
     if n_shards <= 1 << 20:
         splits = F.broadcast(splits)
     blobs = [c for c in index.columns if c != "shard"]
-    left = rows.join(splits, "shard").withColumn("split", F.pmod(F.xxhash64("doc_id", "n_cp"), F.col("splits")).cast("int"))
-    left = left.select("shard", "split", F.lit(1).alias("kind"), "doc_id", "digest", "n_cp", *(F.lit(None).cast("binary").alias(c) for c in blobs))
+    left = rows.join(splits, "shard").withColumn("split", F.pmod(F.xxhash64("row"), F.col("splits")).cast("int"))
+    left = left.select("shard", "split", F.lit(1).alias("kind"), "doc_id", "digest", "n_cp", "row", *(F.lit(None).cast("binary").alias(c) for c in blobs))
     right = index.join(splits, "shard").withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)))
-    right = right.select("shard", "split", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("n_cp"), *blobs)
+    right = right.select("shard", "split", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("n_cp"), F.lit(None).cast("long").alias("row"), *blobs)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In each (shard, split) the index row comes first, then the rows to look up; one index is held at a time."""
@@ -136,32 +138,32 @@ def lookup(rows: DataFrame, index: DataFrame, n_shards: int, most_rows: int) ->
                 if spots[a] != place:
                     place, held = spots[a], None
                 if kind[a] == 0:
-                    sizes, cells, slots, keep, has, n = (batch.column(6 + j)[a].as_py() for j in range(6))
+                    sizes, cells, slots, keep, has, n, spot = (batch.column(7 + j)[a].as_py() for j in range(7))
                     sizes = np.frombuffer(sizes, np.int64)
                     bits = np.unpackbits(np.frombuffer(cells, np.uint8))[: sizes.sum()].astype(bool)
-                    held = PerfectHash(sizes, bits, _words(slots)), np.frombuffer(keep, "<i8"), np.frombuffer(has, bool), np.frombuffer(n, "<i8")
+                    held = PerfectHash(sizes, bits, _words(slots)), np.frombuffer(keep, "<i8"), np.frombuffer(has, bool), np.frombuffer(n, "<i8"), np.frombuffer(spot, "<i8")
                     continue
                 part = batch.slice(a, b - a)
                 digest = part.column(4)
                 if held is None:
-                    ok, keep_id, known, size = (np.zeros(b - a, t) for t in (bool, np.int64, bool, np.int64))
+                    ok, keep_id, known, size, row = (np.zeros(b - a, t) for t in (bool, np.int64, bool, np.int64, np.int64))
                 else:
                     at = held[0].lookup(_words(b"".join(digest.to_pylist())))
                     ok, safe = at >= 0, np.maximum(at, 0)
-                    keep_id, known, size = held[1][safe], ok & held[2][safe], held[3][safe]
-                yield pa.RecordBatch.from_arrays([part.column(3), digest, part.column(5), pa.array(keep_id, mask=~known), pa.array(size, mask=~ok), pa.array(ok)], names=["doc_id", "digest", "n_cp", "keep_id", "group_size", "member"])
+                    keep_id, known, size, row = held[1][safe], ok & held[2][safe], held[3][safe], held[4][safe]
+                yield pa.RecordBatch.from_arrays([part.column(3), digest, part.column(5), part.column(6), pa.array(keep_id, mask=~known), pa.array(row, mask=~ok | (row < 0)), pa.array(size, mask=~ok), pa.array(ok)], names=["doc_id", "digest", "n_cp", "row", "keep_id", "keep_row", "group_size", "member"])
 
     both = left.unionByName(right).repartition("shard", "split").sortWithinPartitions("shard", "split", "kind")
-    return both.mapInArrow(find, "doc_id long, digest binary, n_cp long, keep_id long, group_size long, member boolean")
+    return both.mapInArrow(find, "doc_id long, digest binary, n_cp long, row long, keep_id long, keep_row long, group_size long, member boolean")
 
 
 def exact_dedup(docs: DataFrame, history: DataFrame | None = None, most_rows: int = 50_000) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without ASCII white space; of equal texts the longest original, then the
-    smallest doc_id stays. Null text counts as empty; rows that repeat a doc_id with equal length all stay
-    or all go; a null doc_id wins only in a group of nulls. history (digest, keep_id, group_size) is what the
-    index is built on: earlier winners, which stay winners. Without it, the index holds every digest that
+    smallest doc_id, then the first of equal rows stays: one row of each group. Null text counts as empty; a null
+    doc_id wins only in a group of nulls. history (digest, keep_id, group_size) is what the index is built on:
+    earlier winners, which stay winners, so no row of docs that it knows is kept. Without it, the index holds every digest that
     repeats in docs, and digests seen once are the nonmembers."""
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -169,22 +171,31 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, most_rows: in
     groups = group_digests(rows)
     if history is None:
         history = groups.filter("group_size > 1")
+    else:
+        history = history.select("digest", "keep_id", F.lit(None).cast("long").alias("keep_row"), "group_size")
     history = stash(history)
     n_rows, n_keys = rows.count(), history.count()
     most = max(64, min(most_rows, n_rows // (2 * n_parts)))
     n_shards = max(1, -(-n_keys // max(64, min(most_rows, n_keys // n_parts))), -(-n_rows // (most * 4)))
     found = stash(lookup(rows, build_index(history, n_shards), n_shards, most))
     members = found.filter("member").drop("member")
-    new = found.filter("not member").select("doc_id", "digest", "n_cp")
-    fresh = new.join(group_digests(new), "digest").select("doc_id", "digest", "n_cp", "keep_id", "group_size")
+    new = found.filter("not member").select("doc_id", "digest", "n_cp", "row")
+    fresh = new.join(group_digests(new), "digest").select(*members.columns)
     both = members.unionByName(fresh)
-    return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return both.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def exact_dedup_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of all other sources against an index over those of src0 to src9, crawled before."""
+    docs = table(spark, sf_dir, "documents")
+    before = F.coalesce(F.col("source"), F.lit("")).rlike("^src[0-9]$")
+    return exact_dedup(docs.filter(~before), group_digests(stash(digests(docs.filter(before)))))
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
@@ -193,3 +204,12 @@ w AS (SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc
 k AS (SELECT text_sha256, doc_id AS keep_id FROM w WHERE rn = 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w JOIN k USING (text_sha256)
 """
+
+HISTORY_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_matches(coalesce(source, ''), '^src[0-9]$') AS before,
+                  sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+w AS (SELECT *, row_number() OVER (PARTITION BY before, text_sha256 ORDER BY n DESC, doc_id) AS rn, count(*) OVER (PARTITION BY before, text_sha256) AS group_size FROM d),
+k AS (SELECT before, text_sha256, doc_id AS keep_id, group_size FROM w WHERE rn = 1)
+SELECT w.doc_id, coalesce(h.keep_id, k.keep_id) AS keep_id, coalesce(h.group_size, k.group_size) AS group_size, h.keep_id IS NULL AND w.doc_id = k.keep_id AS kept, w.text_sha256
+FROM w JOIN k ON k.text_sha256 = w.text_sha256 AND NOT k.before LEFT JOIN k h ON h.text_sha256 = w.text_sha256 AND h.before WHERE NOT w.before
+"""
