@@ -15,10 +15,20 @@ K = 3
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Words of templates that are sent to all executors at most (about 100 bytes each); more are joined by a shuffle.
+TEMPLATE_WORDS = 200_000
 #: Phrases that give a label wherever their words stand consecutively.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Openings of common public licenses; matched by the share of their k-grams.
+#: Public licenses' whole bodies (the short ones), notices and openings; matched by the share of their k-grams.
 TEXTS = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license": "apache-2",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see http www gnu org licenses": "gpl",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib",
+    "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-2",
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "mit",
     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-2",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
@@ -66,13 +76,18 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, texts: dict[str, str] = T
     doc_id and repeated rows are kept apart by a row number; extra columns are ignored. Labels sort by name;
     spans (label, first, last word) sort by place."""
     spark = docs.sparkSession
-    known = templates(spark, base, texts)  # a few hundred rows, from the two parameters
+    short = [p for p in [*base, *texts] if len(p.split()) < K]
+    if short:
+        raise ValueError(f"phrases of fewer than {K} words: {short}")
+    known = templates(spark, base, texts)
+    if sum(len(p.split()) for p in [*base, *texts]) <= TEMPLATE_WORDS:
+        known = F.broadcast(known)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.coalesce("text", F.lit(""))).alias("words"))
     # A row at place -1 stands for the text itself and carries its number of words.
     own = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("h"), *(F.lit(None).cast("string").alias(f"w{j}") for j in range(K))))
     grams = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(own, grams_of(F.col("words")))).alias("g"))
     grams = grams.select("row", "doc_id", "n_words", F.col("g.pos").alias("pos"), F.col("g.h").alias("h"), *(F.col(f"g.w{j}").alias(f"w{j}") for j in range(K)))
-    votes = grams.join(F.broadcast(known), "h", "left").filter("pos = -1 OR template IS NOT NULL")
+    votes = grams.join(known, "h", "left").filter("pos = -1 OR template IS NOT NULL")
     same = F.col("w0") == F.col("t0")
     for j in range(1, K):
         same = same & (F.col(f"w{j}") == F.col(f"t{j}"))
