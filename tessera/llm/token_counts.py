@@ -46,13 +46,14 @@ def load(path: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(x) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, batch_chars: int = 1 << 19, piece_chars: int = 1 << 16) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, batch_bytes: int = 1 << 19, piece_chars: int = 1 << 16) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit.
 
     tokenizer: a file name of public_tokenizers or a path. Null text: 0 bytes, 0 tokens. Null doc_id and
     repeated rows are kept as they come; extra columns are ignored. Texts above piece_chars are cut at
-    boundaries that no token crosses (byte-level and word BPE; sentencepiece texts stay whole), so counts
-    add up exactly, and batches are balanced by characters."""
+    boundaries that no token crosses (between letters and a space before a letter, in byte-level and word BPE), so
+    counts add up exactly; sentencepiece texts and texts without such a boundary stay whole. Batches are balanced
+    by their bytes in UTF-8."""
 
     def make():
         import public_tokenizers
@@ -71,15 +72,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, batch_chars:
                 owner.clear()
                 size = 0
 
+            n_bytes = [0] * len(texts)
             for i, t in enumerate(texts):
                 for piece in [t] if whole else safe_pieces(t, piece_chars):
+                    own = len(piece.encode())
+                    if size and size + own > batch_bytes:
+                        flush()
                     batch.append(piece)
                     owner.append(i)
-                    size += len(piece)
-                    if size >= batch_chars:
-                        flush()
+                    size += own
+                    n_bytes[i] += own
             flush()
-            return {"doc_id": keys, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": totals}
+            return {"doc_id": keys, "n_bytes": n_bytes, "n_tokens": totals}
 
         return f
 
