@@ -194,7 +194,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[tup
         return [], 0.5
     prior = known.agg(F.avg("toxic")).first()[0]
     wanted = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, toxic long")
-    got = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
+    got = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     return sorted((r["text"] or "", int(r["toxic"])) for r in got.select("text", "toxic").toLocalIterator()), float(prior)
 
 
@@ -213,12 +213,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 800, threshold
     """One row per input row: doc_id, held_out, score, predicted.
 
     The model is fitted on at most 2 x per_class labelled documents (whole texts); every document is scored.
-    Null doc_id: never learnt from, held_out null becomes false. Without labels of both classes all texts get
-    one half, so all are predicted toxic at 0.3: give labels. Extra columns are ignored."""
-    rows, prior = sample(docs, labels, per_class)
-    model = train(rows, prior=prior)
+    Null doc_id: never learnt from, held_out null becomes false. Of texts that share a labelled doc_id the first in
+    order is learnt from. Without labels of both classes nothing can be learnt: all scores are 0, none is
+    predicted toxic. An empty table gives no rows; extra columns are ignored."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
-    return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows, prior = sample(docs, labels, per_class)
+    scored = score(docs, train(rows, prior=prior)) if rows else docs.select("doc_id", F.lit(0.0).alias("score"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, per_class: int = 800, threshold: float = 0.3) -> DataFrame:
