@@ -28,6 +28,14 @@ NUMBER_FORMS = (
 DATE = r"((?:19|20)\d{2})年(\d{1,2})月(\d{1,2})日"
 ISSUED, EFFECTIVE = "公布|发布|通过|修订|修正|批准", "施行|实施|生效|执行"
 SCOPES = {"证券": "证券", "期货": "期货", "基金": "基金", "衍生品": "衍生品|衍生工具"}
+# Issuers that a document of a level can have.
+ISSUERS_OF_LEVEL = {
+    "law": ("全国人民代表大会常务委员会", "国务院"),
+    "admin_regulation": ("国务院",),
+    "department_rule": ("中国证券监督管理委员会", "国务院"),
+    "normative_document": ("中国证券监督管理委员会", "上海证券交易所", "深圳证券交易所", "北京证券交易所", "国务院"),
+    "self_regulation": ("上海证券交易所", "深圳证券交易所", "北京证券交易所", "中国证券业协会", "中国证券投资基金业协会", "中国期货业协会", "中国证券监督管理委员会"),
+}
 DRAFT, PLACEHOLDER = "征求意见稿|征求意见|草案", r"T/[A-Z]+\s*0*X|\*{2,}"
 LEVEL_OF_ISSUER = {
     "全国人民代表大会常务委员会": "law",
@@ -43,13 +51,14 @@ LEVEL_OF_ISSUER = {
 
 
 def level_label(level: Column) -> Column:
+    """The level's name; an unknown level keeps its own, none is unclassified."""
     table = F.create_map(*[F.lit(x) for k, (label, _) in LEVELS.items() for x in (k, label)])
-    return F.coalesce(F.try_element_at(table, level), F.lit("未分级"))
+    return F.when(F.coalesce(level, F.lit("")) == "", F.lit("未分类")).otherwise(F.coalesce(F.try_element_at(table, level), level))
 
 
 def level_rank(level: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for k, (_, rank) in LEVELS.items() for x in (k, rank)])
-    return F.coalesce(F.try_element_at(table, level), F.lit(0))
+    """1 for the highest; null for no or an unknown level."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, (_, rank) in LEVELS.items() for x in (k, rank)]), level)
 
 
 def validity_label(validity: Column) -> Column:
@@ -67,11 +76,19 @@ def scope(text: Column) -> Column:
     return F.filter(F.array(*[F.when(head.rlike(p), F.lit(k)) for k, p in SCOPES.items()]), lambda x: x.isNotNull())
 
 
-def issuer(text: Column) -> Column:
-    """The first issuer in list order that the head names, else one that the whole text names."""
-    body = compact(F.coalesce(text, F.lit("")))
-    head = F.substring(body, 1, 800)
-    return F.coalesce(*[F.when(part.rlike(p), F.lit(k)) for part in (head, body) for k, p in ISSUERS.items()])
+def issuer(text: Column, level: Column | None = None) -> Column:
+    """The first issuer in list order that the head names, else one that the whole text names. A known level
+    allows its own issuers only, in its order."""
+    body = F.coalesce(text, F.lit(""))
+    parts = [compact(F.substring(body, 1, 800)), compact(body)]
+
+    def first(names) -> Column:
+        return F.coalesce(*[F.when(part.rlike(ISSUERS[k]), F.lit(k)) for part in parts for k in names])
+
+    out = first(ISSUERS)
+    for k, names in ISSUERS_OF_LEVEL.items() if level is not None else ():
+        out = F.when(level == k, first(names)).otherwise(out)
+    return out
 
 
 def document_number(text: Column) -> Column:
@@ -107,16 +124,21 @@ def title(text: Column, filename: Column) -> Column:
     return F.when((F.length(stem) >= 6) & stem.rlike("[一-鿿]"), stem).otherwise(F.coalesce(F.try_element_at(fit, F.lit(1)), stem))
 
 
-def infer_level(issuer_: Column, number: Column) -> Column:
+def infer_level(issuer_: Column, number: Column, title_: Column | None = None, text: Column | None = None) -> Column:
+    """The issuer's level; of the commission's documents an order is a rule, anything else normative. Without a
+    number, title and first 300 characters tell."""
     table = F.create_map(*[F.lit(x) for k, v in LEVEL_OF_ISSUER.items() for x in (k, v)])
     found = F.try_element_at(table, issuer_)
-    return F.when((found == "department_rule") & ~F.coalesce(number.contains("令"), F.lit(False)), F.lit("normative_document")).otherwise(found)
+    none = F.lit("")
+    head = F.concat(F.coalesce(title_, none), F.substring(F.coalesce(text, none), 1, 300)) if text is not None else none
+    return F.when((found == "department_rule") & ~F.contains(F.coalesce(number, head), F.lit("令")), F.lit("normative_document")).otherwise(found)
 
 
 def extract(text: Column, filename: Column, level: Column | None = None) -> Column:
     """One struct of all fields; evidence maps each found field to what it rests on."""
-    t, who, number = title(text, filename), issuer(text), document_number(text)
-    lv = F.coalesce(level, infer_level(who, number)) if level is not None else infer_level(who, number)
+    t, who, number = title(text, filename), issuer(text, level), document_number(text)
+    guess = infer_level(who, number, t, text)
+    lv = F.coalesce(level, guess) if level is not None else guess
     fields = {"title": t, "regulator": who, "doc_number": number, "legal_level": lv, "level_rank": level_rank(lv), "issued_date": issued_date(text, filename), "effective_date": effective_date(text), "validity": validity(text, t), "scope": scope(text), "content_hash": F.sha2(F.coalesce(text, F.lit("")), 256)}
     proof = F.create_map(*[x for k, v in fields.items() if k != "scope" for x in (F.lit(k), F.when(v.isNotNull(), F.concat(F.lit(k + ": "), v.cast("string"))))])
     return F.struct(*[v.alias(k) for k, v in fields.items()], proof.alias("evidence"))

@@ -94,3 +94,8 @@ def scope_text(col: Column) -> Column:
 
 def hash_preview(col: Column) -> Column:
     return F.substring(col, 1, 8)
+
+
+def bare(col: Column) -> Column:
+    """Without the particles that questions and triggers differ in."""
+    return F.translate(F.coalesce(col, F.lit("")), "的上了中里着", "")

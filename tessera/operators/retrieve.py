@@ -5,7 +5,12 @@ small side of each join: they are broadcast after a check of their number, else
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 TOKEN = r"[a-z0-9][a-z0-9._:/\-()]*"
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
@@ -55,14 +60,58 @@ def ranked(df: DataFrame, by: str, n: int, tie: str = "chunk_id", to: str = "ran
     return df.withColumn(to, rn).filter(F.col(to) <= n)
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id", text: str = "text") -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """A lexical index: postings (key, dl, term, tf) sorted by term, term weights, one row of n and avgdl."""
+
+    post: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+
+
+def version_of(files: DataFrame) -> str:
+    """A digest of the names, sizes and times of the files that a scan reads: an index of other files is stale."""
+    m = files.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("t")).distinct()
+    h = m.agg(F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)")).alias("h"), F.count("*").alias("n")).first()
+    return f"{int(h['h'] or 0) & (2**64 - 1):016x}-{h['n']}"
+
+
+def build_index(chunks: DataFrame, path: str, key: str = "chunk_id", text: str = "text") -> Index:
+    """Write the index of chunks to path: postings dealt and sorted by term, so a question reads the row groups of
+    its terms; weights and corpus figures beside them."""
+    spark = chunks.sparkSession
+    postings(chunks, key, text).repartition("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/post")
+    post = spark.read.parquet(f"{path}/post")
+    terms, corpus = term_weights(post, key)
+    corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("post", "terms", "corpus")))
+
+
+def fresh_index(chunks: DataFrame, files: DataFrame, folder: str, key: str = "chunk_id", text: str = "text") -> Index:
+    """The index of chunks in folder, built again only if the files behind them (a file scan) have changed."""
+    spark, path = chunks.sparkSession, f"{folder}/index-{version_of(files)}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/terms/_SUCCESS")
+    if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+        return open_index(spark, path)
+    return build_index(chunks, path, key, text)
+
+
+def bm25(chunks: DataFrame | Index, queries: DataFrame, k: int = 10, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """query_id, chunk_id, score, rank: Okapi weights; a term that a question repeats counts each time; scores of
-    zero or less are no hits; ties go to the smaller chunk_id."""
-    post = postings(chunks, key, text)
-    idf, corpus = term_weights(post, key)
+    zero or less are no hits; ties go to the smaller chunk_id. chunks: their index, or rows to index for this call."""
+    if isinstance(chunks, Index):
+        post, idf, corpus = chunks.post, chunks.terms, chunks.corpus
+    else:
+        post = postings(chunks, key, text)
+        idf, corpus = term_weights(post, key)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     asked = asked.join(idf, "term")
-    hits = post.join(small(asked), "term").crossJoin(F.broadcast(corpus))
+    hits = post.join(small(asked), "term").crossJoin(F.broadcast(corpus))  # one row
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", F.col(key).alias("chunk_id")).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
     return ranked(scored, "score", k)
@@ -74,11 +123,39 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def vector_search(items: DataFrame, queries: DataFrame, k: int = 10, where: str | None = None) -> DataFrame:
-    """query_id, chunk_id, score, rank of exact cosine. where filters items before ranking. Questions are a stated
-    set, held against all items in one pass; nothing of the items is moved but the best k of each task."""
-    rows = (items.filter(where) if where else items).select("chunk_id", "embedding").join(small(queries.select("query_id", F.col("embedding").alias("asked"))), F.lit(True))
-    return ranked(rows.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("asked")), 6).alias("score")), "score", k)
+def vector_search(items: DataFrame, queries: DataFrame, k: int = 10, where: str | None = None, block: int = 2048) -> DataFrame:
+    """query_id, chunk_id, score, rank of exact cosine (0 for a zero vector). where filters items before ranking.
+
+    Questions are a stated set, held against all items: both are cut into blocks of vectors, every item block meets
+    every question block as two matrices, and keeps the best k of each question, so little is shuffled."""
+
+    def packed(df: DataFrame, key: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), block):
+                    b = batch.slice(at, block)
+                    x = np.array(b.column(1).to_pylist(), "<f8")
+                    norm = np.sqrt((x * x).sum(1, keepdims=True))
+                    unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                    yield pa.RecordBatch.from_pydict({"ids": pa.array([b.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), "vecs": pa.array([unit.tobytes()], pa.binary())})
+
+        return df.filter("embedding IS NOT NULL").select(key, "embedding").mapInArrow(run, "ids binary, vecs binary")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, vecs, q_ids, q_vecs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                i, q = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
+                s = np.round(np.frombuffer(q_vecs, "<f8").reshape(len(q), -1) @ np.frombuffer(vecs, "<f8").reshape(len(i), -1).T, 6)
+                if len(i) > k:  # the k best and what ties with the last of them
+                    last = np.partition(s, len(i) - k, axis=1)[:, len(i) - k]
+                    row, col = np.nonzero(s >= last[:, None])
+                else:
+                    row, col = np.divmod(np.arange(s.size), len(i))
+                yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(i[col]), pa.array(s[row, col])], names=["query_id", "chunk_id", "score"])
+
+    asked = packed(queries, "query_id").select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+    pairs = packed(items.filter(where) if where else items, "chunk_id").join(F.broadcast(asked) if queries.count() <= BROADCAST_ROWS else asked, F.lit(True))
+    return ranked(pairs.mapInArrow(score, "query_id long, chunk_id long, score double"), "score", k)
 
 
 def fuse(lists: list[tuple[str, DataFrame]]) -> DataFrame:

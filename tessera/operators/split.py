@@ -46,24 +46,27 @@ def boundaries(text: str) -> Iterator[tuple[int, str, bool, str]]:
 
 
 def cut(text: str, start: int, limit: int) -> int:
-    """Where a piece from start ends: all if less than 30 % of limit would remain, else after the rightmost
-    separator past half, else at the last space past half, else at the limit."""
-    if len(text) - start <= limit * 1.3:
+    """Where a piece from start ends: with the text if less than 30 % of limit would remain, else after the
+    rightmost separator past half, else at the last space past half, else at the limit."""
+    end = min(start + limit, len(text))
+    if len(text) - end < limit * 0.3:
         return len(text)
-    half, end = start + limit // 2, start + limit
-    best = max((text.rfind(s, half, end) + len(s) for s in SEPARATORS if text.rfind(s, half, end) >= 0), default=0)
-    if not best:
-        best = text.rfind(" ", half + 1, end) + 1
-    return min(best, end) if best > half else end
-
-
-def pieces(text: str, a: int, b: int, limit: int) -> list[tuple[int, int]]:
-    out, part = [], text[:b]
-    while a < b:
-        e = cut(part, a, limit)
+    half = start + limit // 2
+    found = [i + len(s) for s in SEPARATORS if (i := text.rfind(s, half, end)) >= 0]
+    if found:
+        return max(found)
+    space = text.rfind(" ", half + 1, end)
+    return space + 1 if space >= 0 else end
+
+
+def pieces(text: str, a: int, b: int, limit: int, hard: int = HARD) -> list[tuple[int, int]]:
+    """The range a to b in pieces, until what is left isn't longer than hard."""
+    out = []
+    while b - a > hard:
+        e = min(cut(text, a, limit), b)
         out.append((a, e))
         a = e
-    return out
+    return [*out, (a, b)] if a < b else out
 
 
 def level(line: str) -> int:
@@ -112,7 +115,7 @@ def split_semantic(text: str, size: int = SIZE, hard: int = HARD) -> list[tuple[
             merged[-1][1] = b
         else:
             merged.append([a, b, lv])
-    ranges = [r for a, b, _ in merged for r in (pieces(text, a, b, size) if b - a > hard else [(a, b)])]
+    ranges = [r for a, b, _ in merged for r in pieces(text, a, b, size, hard)]
     out: list[list[int]] = []
     for a, b in ranges:
         if out and len(text[a:b].strip()) < SMALLEST:
@@ -132,7 +135,7 @@ def split_legal(text: str, size: int = SIZE, hard: int = HARD) -> list[tuple[int
         return split_semantic(text, size, hard)
     spans = [(0, marks[0][0], None)] if text[: marks[0][0]].strip() else []
     spans += [(p, marks[i + 1][0] if i + 1 < len(marks) else len(text), t) for i, (p, t) in enumerate(marks)]
-    return [(a, b, t) for x, y, t in spans for a, b in (pieces(text, x, y, size) if y - x > hard else [(x, y)])]
+    return [(a, b, t) for x, y, t in spans for a, b in pieces(text, x, y, size, hard)]
 
 
 SPLITTERS = {"legal": split_legal, "semantic": split_semantic, "unstructured": split_fixed}
@@ -142,20 +145,46 @@ def choose(whole: str) -> str:
     return "legal" if looks_legal(whole) else "semantic" if looks_structured(whole) else "unstructured"
 
 
+def document_splitters(sections: DataFrame) -> DataFrame:
+    """doc_id, whole: the splitter that a document's sections call for together: legal with enough article
+    boundaries in all, semantic with enough headings among its first lines, else by size. No text is moved."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, sec, text in zip(b.doc_id, b.section_index, b.text, strict=True):
+                lines = (text or "").split("\n")
+                heads = [i for i, x in enumerate(lines[:HEADING_LINES]) if level(x) > 0]
+                rows.append((doc, sec, sum(ok for *_, ok, _ in boundaries(text or "")), len(lines) + 1, heads))
+            yield pd.DataFrame(rows, columns=["doc_id", "section_index", "articles", "n_lines", "heads"])
+
+    found = sections.filter("text <> ''").select("doc_id", "section_index", "text").mapInPandas(run, "doc_id long, section_index int, articles long, n_lines long, heads array<long>")
+    before = Window.partitionBy("doc_id").orderBy("section_index").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("at", F.coalesce(F.sum("n_lines").over(before), F.lit(0)))
+    g = found.groupBy("doc_id").agg(F.sum("articles").alias("articles"), F.sum(F.size(F.filter("heads", lambda i: i + F.col("at") < HEADING_LINES))).alias("heads"))
+    return g.select("doc_id", F.when(F.col("articles") >= LEGAL_LEAST, "legal").when(F.col("heads") >= HEADINGS_LEAST, "semantic").otherwise("unstructured").alias("whole"))
+
+
 def split_sections(sections: DataFrame, splitter: str = "auto") -> DataFrame:
     """sections (doc_id, section_index, text) -> doc_id, section_index, splitter, start, end, content,
-    article_number. With auto, a section is legal or semantic where it looks so, else cut by size."""
+    article_number. With auto, a document's sections are split alike, but for sections of an unstructured one
+    that have headings of their own."""
+    auto = splitter == "auto"
+    rows = sections.select("doc_id", "section_index", "text")
+    rows = rows.join(document_splitters(sections), "doc_id", "left") if auto else rows.withColumn("whole", F.lit(splitter))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, sec, text in zip(b.doc_id, b.section_index, b.text, strict=True):
+            for doc, sec, text, name in zip(b.doc_id, b.section_index, b.text, b.whole, strict=True):
                 text = text or ""
-                name = choose(text) if splitter == "auto" else splitter
+                if auto and name != "legal" and choose(text) == "semantic":
+                    name = "semantic"
+                name = name or "unstructured"
                 rows += [(doc, sec, name, x, y, text[x:y], t) for x, y, t in SPLITTERS[name](text)]
             yield pd.DataFrame(rows, columns=["doc_id", "section_index", "splitter", "start", "end", "content", "article_number"])
 
-    return sections.select("doc_id", "section_index", "text").mapInPandas(run, f"doc_id long, section_index int, splitter string, {CHUNK}")
+    return rows.select("doc_id", "section_index", "text", "whole").mapInPandas(run, f"doc_id long, section_index int, splitter string, {CHUNK}")
 
 
 def boundary_audit(docs: DataFrame) -> DataFrame:
@@ -185,3 +214,8 @@ def chunk_stats(chunks: DataFrame, content: str = "content", broken: str = "brok
         F.count("*").alias("chunk_count"), F.bround(F.avg(n)).cast("long").alias("avg_length"), F.max(n).alias("max_length"), F.min(n).alias("min_length"),
         F.count_if(broken).alias("broken_count"), F.bround(F.count_if(broken) / F.count("*"), 4).alias("broken_ratio"),
     )
+
+
+def opens_article(content: Column) -> Column:
+    """Whether a chunk starts an article (else it goes on with one)."""
+    return F.coalesce(F.regexp_replace(content, r"(?U)^\s+", "").rlike(rf"(?U)^(?:第(?:\s{{0,3}}[{NUMERALS}])+\s{{0,3}}条|第\d+条)"), F.lit(False))

@@ -47,3 +47,51 @@ def history(turns: DataFrame, k: int = 6) -> DataFrame:
     """The last k turns of each session, then without failed ones, oldest first."""
     rn = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("turn")))
     return turns.withColumn("back", rn).filter((F.col("back") <= k) & ~F.col("failed"))
+
+
+def log_summary(logs: DataFrame, n: int = 300) -> DataFrame:
+    """Of the n latest answers (created_at, refused, retrieval_failed, rerank_enabled, degraded, n_citations,
+    n_unknown): counts of each condition."""
+    r = recent(logs, "created_at", n)
+    on = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return r.agg(F.count("*").alias("n"), on(F.col("rerank_enabled")).alias("rerank_on"), on(F.col("degraded")).alias("degraded"), on(F.col("refused")).alias("refused"), on(F.col("retrieval_failed")).alias("failed"), on(F.col("n_citations") > 0).alias("with_citation"), on(F.col("n_unknown") > 0).alias("with_unknown"))
+
+
+def source_hits(logs: DataFrame, items: str = "items") -> DataFrame:
+    """source, n over all items' arrays of sources."""
+    return logs.select(F.explode(items).alias("i")).select(F.explode("i.sources").alias("source")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+def stage_medians(logs: DataFrame, stages: list[str], timings: str = "timings_ms") -> DataFrame:
+    """One row of each stage's median time in whole ms; a missing stage counts 0, logs without timings nothing."""
+    some = logs.filter(F.coalesce(F.size(timings), F.lit(0)) > 0)
+    return some.agg(*(F.percentile(F.coalesce(F.try_element_at(timings, F.lit(s)), F.lit(0)), 0.5).cast("int").alias(s) for s in stages))
+
+
+def refusal_report(results: DataFrame) -> DataFrame:
+    """Questions to be refused (failed, refused, says_none): all, without failures, right ones and their rate."""
+    ok = ~F.coalesce("failed", F.lit(False))
+    right = ok & (F.coalesce("refused", F.lit(False)) | F.coalesce("says_none", F.lit(False)))
+    r = results.agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.count_if(right).alias("correct"))
+    return r.select("*", (F.col("total") - F.col("valid")).alias("excluded"), F.round(F.when(F.col("valid") > 0, 100 * F.col("correct") / F.col("valid")).otherwise(0), 1).alias("rate"))
+
+
+def fabricated(results: DataFrame, unknown: str = "n_unknown") -> DataFrame:
+    return results.agg(F.count("*").alias("sampled"), F.count_if(F.coalesce(unknown, F.lit(0)) > 0).alias("with_unknown"))
+
+
+def run_index(files: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """stamp and one column per kind with the file of that run, newest first. kinds: prefix of names -> column."""
+    name = F.element_at(F.split("name", "/"), -1)
+    stamp = F.regexp_extract(name, r"(\d{8}_\d{6})", 1)
+    rows = files.select(name.alias("name"), stamp.alias("stamp")).filter("stamp <> ''")
+    return rows.groupBy("stamp").agg(*(F.max(F.when(F.startswith("name", F.lit(p)), F.col("name"))).alias(k) for p, k in kinds.items())).orderBy(F.desc("stamp"))
+
+
+def usage_left(usage: DataFrame, limit: int) -> DataFrame:
+    return usage.withColumn("remaining", F.greatest(F.lit(limit) - F.coalesce("qa_count", F.lit(0)), F.lit(0)))
+
+
+def gate_score(hits: DataFrame) -> DataFrame:
+    """query_id, best: the largest rerank score; null where no hit has one."""
+    return hits.groupBy("query_id").agg(F.max("rerank_score").alias("best"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import metadata, numerals, questions, text as tx
-from ..operators import decide as dc, retrieve as rt, split as sp, stats as st
+from .. import providers
+from ..operators import citations, decide as dc, retrieve as rt, search as se, split as sp, stats as st
 from ..sources import loaders, store
 from ..streaming import limits
 
@@ -223,15 +224,19 @@ def question_table(spark, d):
     return T(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def lexical(spark, d):
+    """The stored index of whole documents; built at the first call and when the files change."""
+    return rt.fresh_index(chunk_table(spark, d), T(spark, d, "documents"), f"{store.shared_folder(spark)}/tessera")
+
+
 @query(f"WITH {_BM} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_index_stats(spark, d):
-    w, _ = rt.term_weights(rt.postings(chunk_table(spark, d)))
-    return w.select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM}, {_QT}, {_SC} SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 10")
 def search_bm25_topk(spark, d):
-    return rt.bm25(chunk_table(spark, d), question_table(spark, d), 10)
+    return rt.bm25(lexical(spark, d), question_table(spark, d), 10)
 
 
 _VEC = "v AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0{0}), vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM v)"
@@ -253,8 +258,8 @@ def search_vector_filtered(spark, d):
 
 
 def two_lists(spark, d):
-    """BM25 hits and, as the second list, hits by token overlap of BM25's wider list."""
-    wide = rt.bm25(chunk_table(spark, d), question_table(spark, d), 20)
+    """BM25 hits and, as the second list, its wider list in another order: fusion alone. search_hybrid fuses vectors."""
+    wide = rt.bm25(lexical(spark, d), question_table(spark, d), 20)
     second = rt.ranked(wide.select("query_id", "chunk_id", F.round(1.0 / (1 + F.col("chunk_id") % 17), 6).alias("score")), "score", 10)
     return second, wide.filter("rank <= 10")
 
@@ -268,6 +273,75 @@ def rrf_fusion(spark, d):
     return rt.fuse([("vector", a), ("bm25", b)]).select("query_id", "chunk_id", "source", "score", "fused", "rank")
 
 
+_HY = f"""{_BM}, {_QT}, {_SC}, v0 AS (SELECT b.item_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e),
+v1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM v0), u AS (SELECT query_id, chunk_id, 0 AS list, 'vector' AS name, score, rank FROM v1 WHERE rank <= 100 UNION ALL SELECT query_id, chunk_id, 1, 'bm25', score, rank FROM bm WHERE rank <= 100),
+f0 AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS fused, count(*) AS n, arg_min(name, list) AS sole, arg_min(score, list) AS own, min(list * 1000 + rank) AS first FROM u GROUP BY ALL),
+f AS (SELECT query_id, chunk_id, CASE WHEN n > 1 THEN 'hybrid' ELSE sole END AS source, CASE WHEN n > 1 THEN fused ELSE own END AS score, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, first, chunk_id)::INTEGER AS rank FROM f0)"""
+
+
+@query(f"WITH {_HY} SELECT * FROM f WHERE rank <= 100")
+def search_hybrid(spark, d):
+    """Vector and lexical lists of 100, fused: a document's vector is the one of its id, a question's likewise."""
+    e = T(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit(True).alias("enabled"))
+    q = question_table(spark, d).join(e.select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id", "left")
+    corpus = se.Corpus(e, e, lexical(spark, d))
+    return se.candidates(corpus, q, 100).select("query_id", "chunk_id", "source", "score", "fused", "rank")
+
+
+def answer_corpus(spark, d):
+    docs = T(spark, d, "documents")
+    text = F.coalesce("text", F.lit(""))
+    chunks = providers.embed(docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("article_number"), F.lit(None).cast("int").alias("article_int"), text.alias("content"), F.lit(True).alias("enabled")), text="content")
+    none = F.lit(None).cast("string")
+    documents = docs.select(F.col("doc_id").alias("document_id"), F.concat_ws("_", "source", "doc_id").alias("title"), F.concat("source", F.lit(".txt")).alias("filename"), F.lit("indexed").alias("status"), none.alias("legal_level"), none.alias("validity"), none.alias("doc_number"))
+    return se.Corpus(documents, store.written(chunks), lexical(spark, d)), store.written(providers.embed(question_table(spark, d)))
+
+
+@query()
+def search_end_to_end(spark, d):
+    corpus, asked = answer_corpus(spark, d)
+    return se.search(corpus, asked).select("query_id", "final_rank", "chunk_id", "source", "score", "rerank_score", "score_kind")
+
+
+@query()
+def ask_end_to_end(spark, d):
+    corpus, asked = answer_corpus(spark, d)
+    return se.ask(corpus, asked)
+
+
+@query()
+def citation_parse(spark, d):
+    """Every document's name with an article as a question, against all names."""
+    refs = T(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.concat_ws("_", "source", "doc_id").alias("title"))
+    asked = refs.select(F.col("document_id").alias("query_id"), F.concat("title", F.lit("第"), F.pmod("document_id", F.lit(99)) + 1, F.lit("条")).alias("text"))
+    return citations.parse_citations(asked, refs).select("query_id", "usable", "number", "document_id", "matched", "reason")
+
+
+@query("SELECT event_type AS sid, count(*) AS sampled, count(*) FILTER (value > 50) AS with_unknown FROM events GROUP BY ALL")
+def fabricated_counts(spark, d):
+    e = T(spark, d, "events").withColumn("n_unknown", (F.col("value") > 50).cast("int"))
+    return e.groupBy(F.col("event_type").alias("sid")).agg(F.count("*").alias("sampled"), F.count_if(F.coalesce("n_unknown", F.lit(0)) > 0).alias("with_unknown"))
+
+
+@query("WITH r AS (SELECT doc_id % 5 = 0 AS failed, doc_id % 3 = 0 AS refused, doc_id % 7 = 0 AS says FROM documents) SELECT count(*) AS total, count(*) FILTER (NOT failed) AS valid, count(*) FILTER (NOT failed AND (refused OR says)) AS correct, count(*) FILTER (failed) AS excluded, round(100 * count(*) FILTER (NOT failed AND (refused OR says)) / count(*) FILTER (NOT failed), 1) AS rate FROM r")
+def refusal_correctness(spark, d):
+    i = F.col("doc_id")
+    r = T(spark, d, "documents").select((i % 5 == 0).alias("failed"), (i % 3 == 0).alias("refused"), (i % 7 == 0).alias("says_none"))
+    return st.refusal_report(r)
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20 OFFSET 20")
+def list_page(spark, d):
+    return store.page_of(T(spark, d, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), "doc_id"], 20, 20)
+
+
+@query("WITH q AS (SELECT key, day, event_id, row_number() OVER (PARTITION BY key, day ORDER BY ts, event_id) AS n FROM (SELECT user_id AS key, ts::DATE AS day, ts, event_id FROM events WHERE event_type = 'view')), o AS (SELECT e.user_id AS key, e.event_id, e.ts, ts::DATE AS day, q.n FROM events e LEFT JOIN q USING (event_id)), g AS (SELECT *, sum(CASE WHEN n <= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY day ORDER BY epoch_us(ts), event_id ROWS UNBOUNDED PRECEDING) AS place FROM o) SELECT event_id, CASE WHEN n > 1 THEN 'key_day' WHEN n <= 1 AND place > 5 THEN 'day' END AS gate FROM g")
+def limit_cascade(spark, d):
+    """All gates with the minute's wide open, as SQL can't say that one."""
+    e = T(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.when(F.col("event_type") == "view", "qa").otherwise("other").alias("kind"))
+    return limits.cascade(e, 1_000_000, 1, 5).select("event_id", "gate")
+
+
 _OVER = "len(list_intersect(list_distinct({q}), list_distinct({t}))) / len(list_distinct({q}))"
 
 
@@ -456,7 +530,13 @@ def stats_percentile(spark, d):
 
 @query("SELECT event_type, trunc(quantile_cont(value, 0.5))::INTEGER AS median FROM events GROUP BY event_type")
 def stage_median(spark, d):
-    return T(spark, d, "events").groupBy("event_type").agg(F.percentile("value", 0.5).cast("int").alias("median"))
+    # The median from counts of distinct values, so no event type is gathered.
+    v = T(spark, d, "events").filter("value IS NOT NULL").groupBy("event_type", "value").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("event_type").orderBy("value"))
+    n = F.sum("c").over(Window.partitionBy("event_type"))
+    v = v.withColumns({"upto": upto, "n": n})
+    low, high = (F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1 + i) / 2), F.col("value"))) for i in (0, 1))
+    return v.groupBy("event_type").agg(((low + high) / 2).cast("int").alias("median"))
 
 
 @query("SELECT coalesce(source, 'unknown') AS source, count(*) AS n, trunc(coalesce(avg(n_chars), 0))::INTEGER AS avg_chars FROM documents GROUP BY ALL")

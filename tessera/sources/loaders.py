@@ -14,12 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import clean_text, long_lines, unwrap_lines
+from ..operators.split import ARTICLE
 
 # Tags and container rules of the page reader.
-DROPPED = {"script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe", "svg"}
-BLOCKS = {"p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "td", "th", "br", "h1", "h2", "h3", "h4", "h5", "h6", "main"}
+DROPPED = {"script", "style", "noscript", "iframe", "svg", "title", "meta", "link", "base", "template"}
+VOID = {"meta", "link", "base", "br"}  # tags without an end
+BLOCKS = {"p", "div", "li", "tr", "td", "th", "br", "section", "article", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt"}
 CONTAINERS = {"div", "article", "section", "td", "main"}
-HINT = re.compile(r"content|article|detail|main|body|text", re.I)
+HINT = re.compile(r"(^|[\s_-])(content|article|main|text|zoom|body)([\s_-]|$)", re.I)
+CRUMBS = ("面包屑开始", "面包屑结束")
+CHAPTER_LINE = re.compile(r"^第([一二三四五六七八九十百零〇\d]+)章\s*(.*)$")
+FOREWORD = "（前言）"
 CONTAINER_LEAST, ARTICLE_POINTS = 200, 1000
 SECTION = "path string, parser string, section_index int, title string, text string, warning string"
 HEADING = re.compile(r"^(#{1,6})\s+(\S.*)$")
@@ -49,6 +54,10 @@ def markdown_sections(text: str) -> list[tuple[str, str]]:
     return [(t, "\n".join(x).strip()) for t, x in out if "\n".join(x).strip()]
 
 
+#: Ends a paragraph; no text has it.
+BREAK = "\0"
+
+
 class Page(HTMLParser):
     """Text of blocks, and for each container candidate where its text begins and ends."""
 
@@ -59,21 +68,21 @@ class Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "title":
             self.in_title = True
-        if tag in DROPPED:
+        if tag in DROPPED and tag not in VOID:
             self.skip += 1
         if tag in BLOCKS:
-            self.out.append("\n")
+            self.out.append(BREAK)
         a = dict(attrs)
         if tag in CONTAINERS:
-            self.open.append((tag, bool(HINT.search(f"{a.get('id') or ''} {a.get('class') or ''}".strip() or "-")) and bool(a.get("id") or a.get("class")), len(self.out)))
+            self.open.append((tag, bool(HINT.search(f"{a.get('id') or ''} {a.get('class') or ''}".strip())), len(self.out)))
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "title":
             self.in_title = False
-        if tag in DROPPED:
+        if tag in DROPPED and tag not in VOID:
             self.skip = max(0, self.skip - 1)
         if tag in BLOCKS:
-            self.out.append("\n")
+            self.out.append(BREAK)
         if tag in CONTAINERS:
             while self.open:
                 t, hint, at = self.open.pop()
@@ -86,26 +95,51 @@ class Page(HTMLParser):
         if self.in_title:
             self.title += data
         elif not self.skip:
-            self.out.append(data)
+            self.out.append(data.replace(BREAK, ""))
 
-    def text(self, a: int = 0, b: int | None = None) -> str:
-        lines = [re.sub(r"[\s　]+", " ", x).strip() for x in "".join(self.out[a:b]).split("\n")]
-        return "\n".join(x for x in lines if x)
+    def paragraphs(self, a: int = 0, b: int | None = None) -> list[str]:
+        lines = [re.sub(r"[\s\u3000]+", " ", x).strip() for x in "".join(self.out[a:b]).split(BREAK)]
+        return without_crumbs([x for x in lines if x])
 
 
-def html_body(html: str) -> tuple[str, str, bool]:
-    """title, body text and whether most of the page was left out. The best container has most article marks,
-    then the longest text; the first of equals; without one, the whole page."""
+def without_crumbs(lines: list[str]) -> list[str]:
+    """lines less the navigation between a start mark and the first end mark after it, if both are there."""
+    start = next((i for i, x in enumerate(lines) if CRUMBS[0] in x), None)
+    end = next((i for i, x in enumerate(lines) if CRUMBS[1] in x and start is not None and i >= start), None)
+    return lines if end is None else lines[:start] + lines[end + 1 :]
+
+
+def html_lines(html: str) -> tuple[str, list[str], bool]:
+    """title, paragraphs of the body and whether most of the page was left out. The best container has most
+    article marks, then the longest text; the first of equals; without one, the whole page."""
     p = Page()
     p.feed(html or "")
-    whole, best, points = p.text(), "", -1
+    squeeze = lambda x: " ".join("".join(x).replace(BREAK, "").split())
+    best, points = (0, None), -1
     for a, b in sorted(p.found):
-        t = p.text(a, b)
-        squeezed = re.sub(r"\s", "", t)
-        if len(squeezed) >= CONTAINER_LEAST and (s := ARTICLE_POINTS * len(re.findall(r"第[一二三四五六七八九十百零〇\d]+条", t)) + len(squeezed)) > points:
-            best, points = t, s
-    body = best or whole
-    return p.title.strip(), body, bool(whole) and len(body) < 0.5 * len(whole)
+        t = squeeze(p.out[a:b])
+        if len(t) >= CONTAINER_LEAST and (s := ARTICLE_POINTS * len(ARTICLE.findall(t)) + len(t)) > points:
+            best, points = (a, b), s
+    body = p.paragraphs(*best)
+    whole = len(squeeze(p.out))
+    return p.title.strip(), body, whole > 0 and 1 - sum(map(len, body)) / whole > 0.5
+
+
+def html_body(html: str) -> tuple[str, str, bool]:
+    title, body, noisy = html_lines(html)
+    return title, "\n".join(body), noisy
+
+
+def html_sections(title: str, lines: list[str]) -> list[tuple[str, str]]:
+    """(title, text) of each chapter, after what stands before the first; all in one with fewer than two chapters."""
+    if sum(bool(CHAPTER_LINE.match(x)) for x in lines) < 2:
+        return [(title, "\n".join(lines))]
+    out: list[tuple[str, list[str]]] = [(f"{title}{FOREWORD}", [])]
+    for x in lines:
+        if m := CHAPTER_LINE.match(x):
+            out.append((f"第{m.group(1)}章 {m.group(2).strip()}".strip(), []))
+        out[-1][1].append(x)
+    return [(t, "\n".join(x)) for t, x in out if "".join(x).strip()]
 
 
 def docx_sections(raw: bytes) -> tuple[list[tuple[str, str]], int]:
@@ -130,8 +164,8 @@ def parse(path: str, raw: bytes) -> list[tuple]:
         if suffix == "md":
             return [(path, "markdown", i, t, x, None) for i, (t, x) in enumerate(markdown_sections(decode(raw)))]
         if suffix in ("html", "htm"):
-            title, body, noisy = html_body(decode(raw))
-            return [(path, "html", 0, title or "html_body", body, "most of the page was left out" if noisy else None)]
+            title, body, noisy = html_lines(decode(raw))
+            return [(path, "html", i, t or "html_body", x, "most of the page was left out" if noisy and not i else None) for i, (t, x) in enumerate(html_sections(title, body))]
         if suffix == "docx":
             found, tables = docx_sections(raw)
             return [(path, "docx", i, t, x, f"{tables} tables were left out" if tables and not i else None) for i, (t, x) in enumerate(found)]
@@ -140,6 +174,20 @@ def parse(path: str, raw: bytes) -> list[tuple]:
         return [(path, "none", 0, None, None, f"unreadable: {type(e).__name__}")]
 
 
+def inline_text(rows: DataFrame) -> DataFrame:
+    """Sections of texts given as values: rows (path, text); a path ending in .md is read by headings."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for p, t in zip(b.path, b.text, strict=True):
+                found = markdown_sections(t or "") if p.lower().endswith(".md") else [("inline_text", t or "")]
+                out += [(p, "inline_text", i, name, x, None) for i, (name, x) in enumerate(found)]
+            yield pd.DataFrame(out, columns=["path", "parser", "section_index", "title", "text", "warning"])
+
+    return rows.select("path", "text").mapInPandas(run, SECTION).withColumn("text", clean_text(F.col("text")))
+
+
 def load_files(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataFrame:
     """path, parser, section_index, title, text (cleaned), warning of all files under path up to most_bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= most_bytes)

@@ -81,3 +81,30 @@ def ingest(docs: DataFrame, into: str, checkpoint: str, process):
         process(batch).write.mode("overwrite").parquet(f"{into}/batch={number}")
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def cascade(events: DataFrame, per_minute: int = 20, per_day: int = 30, all_day: int = 300) -> DataFrame:
+    """Requests (key, event_id, t in seconds, kind) with the gate that stops them: minute, key_day, day, or null.
+
+    The minute gate takes all kinds; only questions that pass it ("qa") count for the day's gates, of the key and,
+    passed by that too, of all keys together. 0 switches a day's gate off. The day of all keys is numbered by
+    running counts of its seconds, so no task orders a whole day's requests."""
+    r = replay(events, per_minute, 60.0).filter("allowed").select("event_id", F.lit(True).alias("in_minute"))
+    e = events.join(r, "event_id", "left").withColumn("day", F.floor(F.col("t") / 86400))
+    qa = (F.col("kind") == "qa") & F.col("in_minute")
+    nth = F.row_number().over(Window.partitionBy("key", "day", qa).orderBy("t", "event_id"))
+    e = e.withColumn("over_key", F.coalesce(qa, F.lit(False)) & F.lit(per_day > 0) & (nth > per_day)).withColumn("asks", F.coalesce(qa, F.lit(False)) & ~F.col("over_key"))
+    second = F.floor("t")
+    per = e.filter("asks").groupBy("day", second.alias("second")).agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("day").orderBy("second").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("day", "second", before.alias("before"))
+    e = e.withColumn("second", second).join(per, ["day", "second"], "left")
+    place = F.col("before") + F.row_number().over(Window.partitionBy("day", "second", "asks").orderBy("t", "event_id"))
+    over = F.col("asks") & F.lit(all_day > 0) & (place > all_day)
+    gate = F.when(F.col("in_minute").isNull(), "minute").when(F.col("over_key"), "key_day").when(over, "day")
+    return e.select("key", "event_id", "t", "kind", gate.alias("gate"))
+
+
+def progress(done: int, total: int) -> int:
+    """Per cent of an indexing job: 75 to 95 as its batches end."""
+    return min(95, 75 + 25 * done // max(1, total))

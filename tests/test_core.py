@@ -6,7 +6,8 @@ from compare import DIR, connect, same
 from pyspark.sql import functions as F
 
 from tessera.functions import metadata, numerals, questions, text as tx
-from tessera.operators import decide as dc, retrieve as rt, split as sp, stats as st
+from tessera import providers
+from tessera.operators import citations, decide as dc, entries as en, retrieve as rt, search as se, split as sp, stats as st
 from tessera.plans import registry as core
 from tessera.sources import loaders, store
 from tessera.streaming import limits
@@ -136,3 +137,126 @@ def test_prompt_holds_whole_texts(spark):
     got = core.QUERIES["prompt_assembly_whole"](spark, DIR).collect()
     assert len(got) == len(texts) and max(map(len, texts.values())) > 60
     assert all(r["prompt"].count(texts[r["doc_id"]]) >= 2 for r in got)
+
+
+def test_html_rules():
+    long = "法规条文内容。" * 40
+    page = f"<html><head><title>T</title><meta charset=x><link rel=y></head><body><nav>menu</nav><div class='context-menu'>{long * 2}</div><div id='main'><p>面包屑开始</p><p>首页</p><p>面包屑结束</p><p>第一章 总则</p><blockquote>{long}</blockquote><p>第二章 附则</p><pre>end</pre></div></body></html>"
+    title, lines, _ = loaders.html_lines(page)
+    assert title == "T" and lines == ["第一章 总则", long, "第二章 附则", "end"]
+    assert loaders.html_sections("T", ["before", *lines]) == [("T（前言）", "before"), ("第一章 总则", f"第一章 总则\n{long}"), ("第二章 附则", "第二章 附则\nend")]
+    assert loaders.html_lines("<nav>menu</nav><p>a</p>")[1] == ["menu", "a"]
+    assert loaders.without_crumbs(["a", "面包屑结束", "面包屑开始"]) == ["a", "面包屑结束", "面包屑开始"]
+
+
+def test_metadata_rules(spark):
+    t = "国务院证券监督管理机构 中国证券业协会 证监会" + "字" * 800
+    df = spark.createDataFrame([(t, "admin_regulation"), (t, "self_regulation"), (t, "x"), (t, None)], "t string, level string")
+    got = df.select(metadata.issuer(F.col("t"), F.col("level")).alias("i"), metadata.level_label(F.col("level")).alias("l"), metadata.level_rank(F.col("level")).alias("r")).collect()
+    assert [tuple(r) for r in got] == [("国务院", "行政法规", 2), ("中国证券业协会", "自律规则", 5), ("中国证券监督管理委员会", "x", None), ("中国证券监督管理委员会", "未分类", None)]
+    lv = metadata.infer_level(F.lit("中国证券监督管理委员会"), F.lit(None).cast("string"), F.lit("关于"), F.col("t"))
+    assert [r[0] for r in spark.createDataFrame([("第5号令",), ("公告",)], "t string").select(lv).collect()] == ["department_rule", "normative_document"]
+
+
+def test_cut_and_pieces():
+    assert sp.cut("a" * 649, 0, 500) == 649 and sp.cut("a" * 650, 0, 500) == 500
+    assert sp.pieces("a" * 2000, 0, 1001, 500) == [(0, 500), (500, 1001)]
+    assert sp.pieces("a" * 1800, 0, 1600, 500) == [(0, 500), (500, 1600)][:1] + sp.pieces("a" * 1800, 500, 1600, 500)
+
+
+def test_split_by_document(spark):
+    legal = "\n".join(f"第{numerals.spell(i)}条　内容。" for i in range(1, 4))
+    rows = [(1, 0, legal), (1, 1, legal.replace("第", "\n第")), (1, 2, "# A\nx\n# B\ny\n# C\nz"), (2, 0, "plain text"), (2, 1, "# A\n\nx\n# B\n\ny\n# C\nz"), (3, 0, None)]
+    got = sp.split_sections(spark.createDataFrame(rows, "doc_id long, section_index int, text string")).select("doc_id", "section_index", "splitter").distinct().collect()
+    assert {(r[0], r[1]): r[2] for r in got} == {(1, 0): "legal", (1, 1): "legal", (1, 2): "legal", (2, 0): "semantic", (2, 1): "semantic"}
+
+
+def test_parse_citations(spark):
+    docs = spark.createDataFrame([(1, "样例管理办法", "a.txt", "indexed"), (2, "样例管理办法问答", "b.txt", "indexed"), (3, "基金样例指引（试行）", "c.txt", "indexed"), (4, None, "别的规定.pdf", "indexed"), (5, "样例管理办法", "d.txt", "failed")], "document_id long, title string, filename string, status string")
+    qs = ["《样例管理办法》第二十九条怎么规定", "基金样例指引第十条", "第二十九条", "样例管理办法第一条和第二条", "某某管理办法第三条", "别的规定第3条", "没有", None, "样例管理办法第一千条"]
+    got = citations.parse_citations(spark.createDataFrame(list(enumerate(qs)), "query_id int, text string"), citations.document_refs(docs)).orderBy("query_id").collect()
+    assert [(r["document_id"], r["number"], r["matched"]) if r["usable"] else r["reason"] for r in got] == [(1, 29, 6), (3, 10, 6), "no known title", "several articles", (1, 3, 4), (4, 3, 4), "no article", "no article", "no article"]
+
+
+def chunk_rows(spark):
+    rows = [(10, 1, 0, "第一条", 1, "第一条 甲", True), (11, 1, 1, "第一条", 1, "乙", True), (12, 1, 2, "第二条", 2, "丙", False), (13, 2, 0, None, None, "丁", True)]
+    return spark.createDataFrame(rows, "chunk_id long, document_id long, chunk_index int, article_number string, article_int int, content string, enabled boolean")
+
+
+def test_citations_in_tables(spark):
+    docs = spark.createDataFrame([(1, "样例管理办法", "a.txt"), (2, "其他", "b.txt")], "document_id long, title string, filename string")
+    c = chunk_rows(spark)
+    e = spark.createDataFrame([("s", [("样例管理办法", "第1条"), ("a.txt", "第二条"), ("无", "第一条")])], "slug string, citations array<struct<name:string,article:string>>")
+    assert [r["chunk_id"] for r in citations.entry_evidence(e, docs, c).orderBy("piece").collect()] == [10, 11]
+    src = spark.createDataFrame([("s", "a.txt", "第二条"), ("s", "a.txt", "第一条"), ("s", "b.txt", "第九条")], "slug string, filename string, article string")
+    assert {(r["filename"], r["article"]): r["passage"] for r in citations.passages(src, docs, c).collect()} == {("a.txt", "第二条"): "丙", ("a.txt", "第一条"): "第一条 甲\n乙", ("b.txt", "第九条"): None}
+    v = spark.createDataFrame([(1, "样例", "第二条"), (2, "样例", "第五条"), (3, "管理办法样", "第一条"), (4, "", "第一条")], "id int, name string, article string")
+    assert {r["id"]: r["verified"] for r in citations.citations_exist(v, docs, c).collect()} == {1: True, 2: False, 3: False}
+    drafts = spark.createDataFrame([("s", [("第一条 甲……第一条甲",)]), ("t", [("没有这句",)])], "slug string, rows array<struct<original:string>>")
+    done = en.compiled(drafts, citations.passages(src, docs, c)).collect()
+    assert {r["slug"]: r["citation_verified"] for r in done} == {"s": True, "t": False}
+
+
+def test_route(spark):
+    e = spark.createDataFrame([("a", "t", ["行政处罚", "短"], ["证券"], "reviewed", True, [1.0, 0.0]), ("b", "t", ["适当性义务的法律规定"], ["期货", "证券"], "reviewed", True, [0.9, 0.1]), ("c", "t", ["行政处罚"], [], "draft", True, [1.0, 0.0])], "slug string, title string, triggers array<string>, legal_lines array<string>, status string, citation_verified boolean, embedding array<double>")
+    q = spark.createDataFrame([(1, "证券和期货在行政处罚上有什么区别", [1.0, 0.05]), (2, "证券和期货的适当性义务上的法律规定有什么不同", [1.0, 0.0]), (3, "证券和期货的适当性义务上的法律规定有什么不同", None), (4, "什么是基金", [1.0, 0.0]), (5, "证券和期货有何不同", [0.0, -1.0])], "query_id int, text string, embedding array<double>")
+    assert {r["query_id"]: r["slug"] for r in en.route(q, e).collect()} == {1: "a", 2: "b", 3: "b"}
+
+
+def test_search_and_ask(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "样例管理办法", "a.txt", "indexed", "law", None, None), (2, "other rules", "b.txt", "indexed", None, "repealed", None)], "document_id long, title string, filename string, status string, legal_level string, validity string, doc_number string")
+    more = spark.createDataFrame([(20 + i, 2, 1 + i, None, None, f"green apples number {i} grow on trees", True) for i in range(8)], chunk_rows(spark).schema)
+    chunks = store.written(providers.embed(chunk_rows(spark).unionByName(more), text="content"))
+    corpus = se.Corpus(docs, chunks, rt.build_index(chunks.filter("enabled").select("chunk_id", F.col("content").alias("text")), str(tmp_path / "index")))
+    asked = providers.embed(spark.createDataFrame([(1, "样例管理办法第一条"), (2, "green apples number 3"), (3, "   "), (4, "样例管理办法第七条")], "query_id int, text string").withColumn("query_id", F.col("query_id").cast("long")))
+    hits = se.search(corpus, asked).orderBy("query_id", "final_rank").collect()
+    by = {i: [r for r in hits if r["query_id"] == i] for i in range(1, 5)}
+    assert [(r["chunk_id"], r["score_kind"]) for r in by[1]][:2] == [(10, "exact"), (11, "exact")] and by[1][0]["legal_level_label"] == "法律"
+    assert by[2][0]["chunk_id"] == 23 and len(by[2]) == 5 and by[2][0]["validity_label"] == "已废止" and not by[3]
+    got = {r["query_id"]: r for r in se.ask(corpus, asked).collect()}
+    assert (got[1]["kind"], got[1]["evidence"], got[1]["cited"]) == ("ok", "citation_exact", [10]) and got[2]["evidence"] == "rerank" and got[2]["cited"] == [23]
+    assert got[3]["refused"] and got[3]["kind"] == "no_hits" and got[4]["kind"] == "citation_missing"
+    assert se.Settings(k=7).dense_k == 28 and se.Settings(rerank=False).candidate_k == 20
+    with pytest.raises(ValueError):
+        se.Settings(k=51)
+
+
+def test_providers(spark):
+    calls = []
+
+    def flaky(texts):
+        calls.append(len(texts))
+        if len(calls) < 2:
+            raise OSError
+        return [[1.0]] * len(texts)
+
+    assert providers.with_retries(flaky, ["a", "b"], wait=0) == [[1.0], [1.0]] and calls == [2, 2]
+    with pytest.raises(ValueError):
+        providers.with_retries(lambda t: [], ["a"], wait=0)
+
+
+def test_index_is_rebuilt(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *t: spark.createDataFrame(list(enumerate(t)), "chunk_id long, text string").coalesce(1)
+    rows("alpha beta", "beta").write.parquet(path)
+    scan = lambda: spark.read.parquet(path)
+    one = rt.fresh_index(scan(), scan(), str(tmp_path))
+    assert one.terms.count() == 2 and rt.version_of(scan()) == rt.version_of(scan())
+    rows("gamma").write.mode("append").parquet(path)
+    assert rt.fresh_index(scan(), scan(), str(tmp_path)).terms.count() == 3
+
+
+def test_run_index_and_rewrite(spark):
+    f = spark.createDataFrame([("x/r_20250101_101010.csv",), ("x/q_20250101_101010.csv",), ("x/r_20250102_101010.csv",), ("x/none.csv",)], "name string")
+    assert [tuple(r) for r in st.run_index(f, {"r_": "retrieval", "q_": "qa"}).collect()] == [("20250102_101010", "r_20250102_101010.csv", None), ("20250101_101010", "r_20250101_101010.csv", "q_20250101_101010.csv")]
+    q = spark.createDataFrame([("a?", "longer question", True), ("a?", "x", True), ("a?", "longer", False)], "q string, p string, h boolean")
+    assert [r[0] for r in q.select(se.rewritten(F.col("q"), F.col("p"), F.col("h"))).collect()] == ["longer question", "a?", "a?"]
+
+
+def test_jobs(spark):
+    d = spark.createDataFrame([(1, "indexed", None), (2, "indexed", None), (3, "failed", "x")], "document_id long, status string, reason string")
+    j = spark.createDataFrame([(1, "reindex"), (2, "reindex"), (3, "retry")], "document_id long, job string")
+    got = {r["document_id"]: (r["status"], r["reason"]) for r in store.requeue(d, j, chunk_rows(spark).filter("document_id = 1")).collect()}
+    assert got == {1: ("vectorizing", None), 2: ("failed", "no chunks to index"), 3: ("queued", None)}
+    assert limits.progress(1, 2) == 87 and limits.progress(2, 2) == 95 and store.missing_fields(["a", "status"], d) == ["a"]
+    assert store.health(None) == (True, 0, "")
