@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by inner product: a neighbour graph by NN-descent, greedy graph search.
 
-The graph is over the directions of distinct vectors, whatever their norms. It starts from blocks of vectors that
-random projections put next to each other; then each round joins every vector's neighbours, in both directions,
-with each other and keeps what improves a list. A query starts at its own vector's neighbours and at the best of
-the longest vectors, and goes on to the neighbours of the best by inner product found so far, until none of the
-best is left unvisited. Every group a task holds has a fixed size."""
+The graph is over the directions of distinct vectors, whatever their norms. It starts sparse, from a few small
+blocks of vectors that random projections put next to each other; then each round joins every vector's neighbours,
+in both directions, with each other, where at least one is new, and keeps what improves a list, until few lists
+change. A query starts at its own vector's neighbours and at the best of the longest vectors, and goes on to the
+neighbours of the best by inner product found so far, until none of the best is left unvisited. Every group a task
+holds has a fixed size."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import stash, table
+from .common import free, stash, table
 
 EDGE = "u long, v long, s float"
 
@@ -88,26 +89,29 @@ def blocks(points: DataFrame, dim: int, n: int, trees: int, size: int, k: int) -
 
 
 def refine(points: DataFrame, graph: DataFrame, dim: int, n: int, k: int, emit: int) -> DataFrame:
-    """One round of NN-descent: u, v, s with what joining neighbours of neighbours improves."""
+    """One round of NN-descent on graph (u, v, s, new): the lists with what joining neighbours of neighbours
+    improves, which alone is new in them."""
     groups = max(1, n // 64)
     worst = graph.groupBy("u").agg(F.min("s").alias("worst"), F.count("*").alias("have")).select("u", F.when(F.col("have") >= k, F.col("worst")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")
-    near = top(graph.unionByName(back).dropDuplicates(["u", "v"]), "u", "s", "v", k)
+    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s", "new")
+    near = top(graph.unionByName(back).groupBy("u", "v").agg(F.max("s").alias("s"), F.max("new").alias("new")), "u", "s", "v", k)
     full = points.join(worst, "u").select(F.col("u").alias("v"), "vec", "worst")
-    hoods = near.select("u", "v").join(full, "v").withColumn("g", F.pmod(F.xxhash64("u"), F.lit(groups)))
+    hoods = near.select("u", "v", "new").join(full, "v").withColumn("g", F.pmod(F.xxhash64("u"), F.lit(groups)))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["u", "v"])
-        ids, worst = pdf.v.to_numpy(), pdf.worst.to_numpy()
+        ids, worst, new = pdf.v.to_numpy(), pdf.worst.to_numpy(), pdf.new.to_numpy(bool)
         x = np.frombuffer(b"".join(pdf.vec), "<f2").reshape(-1, dim).astype("f4")
         cuts = np.flatnonzero(np.diff(pdf.u.to_numpy())) + 1
         out = []
         for a, b in zip([0, *cuts], [*cuts, len(pdf)]):
-            s = x[a:b] @ x[a:b].T
-            np.fill_diagonal(s, -np.inf)
+            fresh = new[a:b]
             kk = min(emit, b - a - 1)
-            if kk < 1:
+            if kk < 1 or not fresh.any():
                 continue
+            s = x[a:b] @ x[a:b].T
+            np.fill_diagonal(s, -np.inf)
+            s[~(fresh[:, None] | fresh)] = -np.inf
             at = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
             v = np.take_along_axis(s, at, 1)
             i, j = np.nonzero(v > worst[a:b, None])
@@ -116,19 +120,23 @@ def refine(points: DataFrame, graph: DataFrame, dim: int, n: int, k: int, emit:
             return pd.DataFrame({"u": [], "v": [], "s": []}).astype({"u": "int64", "v": "int64", "s": "float32"})
         return pd.DataFrame({"u": np.concatenate([o[0] for o in out]), "v": np.concatenate([o[1] for o in out]), "s": np.concatenate([o[2] for o in out]).astype("f4")}).drop_duplicates(["u", "v"])
 
-    better = hoods.groupBy("g").applyInPandas(local, EDGE)
-    return top(graph.unionByName(better).groupBy("u", "v").agg(F.max("s").alias("s")), "u", "s", "v", k)
+    better = hoods.groupBy("g").applyInPandas(local, EDGE).withColumn("new", F.lit(True))
+    kept = graph.withColumn("new", F.lit(False)).unionByName(better).groupBy("u", "v").agg(F.max("s").alias("s"), F.min("new").alias("new"))
+    return top(kept, "u", "s", "v", k)
 
 
-def build_graph(points: DataFrame, dim: int, n: int, k: int = 32, trees: int = 48, size: int = 512, keep: int = 6, rounds: int = 2, emit: int = 8) -> DataFrame:
+def build_graph(points: DataFrame, dim: int, n: int, k: int = 20, trees: int = 4, size: int = 32, keep: int = 12, rounds: int = 12, emit: int = 8, still: float = 0.02) -> DataFrame:
     """u, v, s: the k near neighbours of every point (u, vec: unit vectors as half floats). Each of `trees` block
-    orders gives the `keep` nearest in the block; two rounds of NN-descent, one more at each doubling from 2^16."""
-    rounds += max(0, int(np.ceil(np.log2(max(1, n) / (1 << 16)))))
-    few = n <= size  # one block compares all
-    graph = stash(top(blocks(points, dim, n, 1 if few else trees, size, k if few else keep).dropDuplicates(["u", "v"]), "u", "s", "v", k))
-    if not few:
-        for _ in range(rounds):
-            graph = stash(refine(points, graph, dim, n, k, emit))
+    orders gives the `keep` nearest in a block of `size`; rounds of NN-descent follow until they change at most the
+    share `still` of the edges. A vector is compared at most trees * (size - 1) + rounds * k * k times; what was
+    joined before isn't compared again."""
+    start = blocks(points, dim, n, trees, size, keep).dropDuplicates(["u", "v"])
+    graph = stash(top(start, "u", "s", "v", k).withColumn("new", F.lit(True)))
+    for _ in range(rounds):
+        old, graph = graph, stash(refine(points, graph, dim, n, k, emit))
+        free(old)
+        if graph.filter("new").count() <= still * n * k:
+            break
     return graph
 
 
@@ -144,6 +152,7 @@ def search(queries: DataFrame, items: DataFrame, graph: DataFrame, head: list, k
 
     Greedy search over the graph's edges in both directions, `step` unvisited best items a round, until none of
     the `width` best is unvisited."""
+    graph = graph.select("u", "v", "s")
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")
     edges = stash(top(graph.unionByName(back).dropDuplicates(["u", "v"]), "u", "s", "v", k + k // 4).select("u", "v"))
     vectors = items.select(F.col("u").alias("x"), F.col("vec").alias("xvec"))
@@ -199,7 +208,8 @@ def search(queries: DataFrame, items: DataFrame, graph: DataFrame, head: list, k
         else:
             reached = state.filter("open > 0").mapInPandas(frontier, "q long, u long").join(edges, "u").select("q", F.col("v").alias("u"))
         reached = reached.distinct().join(vectors, F.col("u") == F.col("x")).select("q", "x", "xvec", F.pmod(F.xxhash64("q"), F.lit(groups)).alias("g"))
-        state = stash(state.groupBy("g").cogroup(reached.groupBy("g")).applyInPandas(start if first else go_on, STATE))
+        before, state = state, stash(state.groupBy("g").cogroup(reached.groupBy("g")).applyInPandas(start if first else go_on, STATE))
+        free(before)
         first = False
         if state.filter("open > 0").isEmpty():
             break
@@ -212,11 +222,11 @@ def search(queries: DataFrame, items: DataFrame, graph: DataFrame, head: list, k
     return state.mapInPandas(unpack, "q long, v long")
 
 
-def nearest(vectors: DataFrame, k: int = 20, query_if: str = "vec_id % 20 = 0", degree: int = 32, width: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, query_if: str = "vec_id % 20 = 0", degree: int = 20, width: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that meets query_if, the k others of largest inner product.
 
     Ties go to the smaller vec_id. Equal vectors are one point of the graph and are all answered. Rows without a
-    usable vector take no part (see usable); with fewer than k candidates all that the graph reaches are given;
+    usable vector take no part (see usable; so do those of another length than most); with fewer than k candidates all that the graph reaches are given;
     an empty table gives no rows. Extra columns are ignored."""
     rows = stash(usable(vectors))
     point = rows.groupBy("embedding").agg(F.min("vec_id").alias("u"))
