@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numerals import TOKEN, article_number
 from ..functions.text import verify_form
@@ -85,3 +85,22 @@ def prompt(question: Column, evidence: Column, history: Column | None = None) ->
     blocks = F.transform(evidence, lambda e, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), e["source"], F.lit("\n"), e["content"]))
     past = F.coalesce(F.array_join(history, "\n"), F.lit("")) if history is not None else F.lit("")
     return F.concat(F.lit("EVIDENCE\n"), F.array_join(blocks, "\n"), F.lit("\nHISTORY\n"), past, F.lit("\nQUESTION\n"), question)
+
+
+def held_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc_id, item_id of every passage (item_id, passage) that a text (doc_id, text) holds word for word.
+
+    What holds a passage holds its second to fourth words in a row between the same spaces, so texts and passages
+    meet by a hash of these; passages of fewer than five words, a stated few, are held against every text."""
+    words = F.split("passage", " ", -1)
+    p = passages.filter("passage IS NOT NULL").withColumn("w", words)
+    long_ = p.filter(F.size("w") >= 5).select("item_id", "passage", F.xxhash64(*(F.get("w", F.lit(i)) for i in (1, 2, 3))).alias("h"))
+    w = F.split("text", " ", -1)
+    grams = F.when(F.size(w) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
+    keys = docs.select("doc_id", F.explode(grams).alias("h"))
+    met = keys.join(long_.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+    held = met.join(docs, "doc_id").join(long_.select("item_id", "passage"), "item_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct()
+    short = p.filter(F.size("w") < 5).select("item_id", "passage")
+    if short.isEmpty():
+        return held
+    return held.unionByName(docs.join(short, F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct())

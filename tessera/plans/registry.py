@@ -360,16 +360,8 @@ def exact_article_lookup(spark, d):
     return rt.article_lookup(asked, c, docs).select("query_id", "document_id", "chunk_index", "piece")
 
 
-@query("WITH t AS (SELECT p_partkey, p_name FROM part), q AS (SELECT p_partkey AS query_id, p_name || ' specification' AS question FROM part WHERE p_partkey <= 50) SELECT query_id, p_partkey, n FROM (SELECT query_id, p_partkey, coalesce(list_max(list_filter(range(5, length(p_name) + 1), lambda k: contains(question, right(p_name, k)))), 0)::INTEGER AS n FROM q, t) WHERE n > 0")
-def title_suffix_match(spark, d):
-    part = T(spark, d, "part")
-    asked = part.filter("p_partkey <= 50").select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit(" specification")).alias("question"))
-    pairs = part.select("p_partkey", "p_name").join(F.broadcast(asked), F.lit(True))
-    return pairs.select("query_id", "p_partkey", questions.title_suffix(F.col("p_name"), F.col("question"), 5).alias("n")).filter("n > 0")
-
-
 @query("WITH q AS (SELECT p_partkey AS query_id, p_name || ' specification' AS question FROM part) SELECT query_id, p_partkey, list_max(list_filter(range(5, length(p_name) + 1), lambda k: contains(question, right(p_name, k))))::INTEGER AS n FROM q JOIN part ON length(p_name) >= 5 AND contains(question, right(p_name, 5))")
-def title_suffix_match_all(spark, d):
+def title_suffix_match(spark, d):
     """Every part asked about. An ending of 5 or more in the question has its own last 5 there, so names meet by
     those; names are compared once each and stand for all of their parts."""
     part = T(spark, d, "part").select("p_partkey", "p_name")
@@ -457,10 +449,9 @@ def entry_route(spark, d):
 
 @query("WITH h AS (SELECT d.doc_id, count(*) FILTER (position(b.text IN d.text) > 0) AS hits FROM documents d, benchmark b GROUP BY d.doc_id) SELECT doc_id, hits FROM h")
 def verbatim_verify(spark, d):
-    # Passages are the stated set; each document is read once against all of them.
-    b = T(spark, d, "benchmark").select(F.col("text").alias("passage"))
-    all_ = b.agg(F.collect_list("passage").alias("passages"))  # the benchmark: a fixed, small table
-    return T(spark, d, "documents").join(F.broadcast(all_), F.lit(True)).select("doc_id", F.size(F.filter("passages", lambda p: F.contains(F.col("text"), p))).cast("long").alias("hits"))
+    docs = T(spark, d, "documents").select("doc_id", "text")
+    held = dc.held_passages(docs, T(spark, d, "benchmark").select("item_id", F.col("text").alias("passage")))
+    return docs.select("doc_id").join(held.groupBy("doc_id").agg(F.count("*").alias("hits")), "doc_id", "left").select("doc_id", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 CASES = [(0, True, False, 0, False, None), (3, False, True, 2, False, 0.05), (3, False, True, 0, False, 0.9), (3, False, False, 0, True, 0.05), (0, False, False, 0, False, None), (3, False, False, 0, False, None), (3, False, False, 0, False, 0.12), (3, False, False, 0, False, 0.13), (3, True, False, 0, False, 0.5)]
@@ -507,14 +498,8 @@ def session_history(spark, d):
     return st.history(t).select("session_id", "turn", "role")
 
 
-@query("SELECT d.doc_id, 'EVIDENCE' || chr(10) || '[1] ' || source || chr(10) || left(text, 40) || chr(10) || '[2] ' || lang || chr(10) || right(text, 20) || chr(10) || 'HISTORY' || chr(10) || chr(10) || 'QUESTION' || chr(10) || 'q' || d.doc_id AS prompt FROM documents d")
-def prompt_assembly(spark, d):
-    e = F.array(F.struct(F.col("source").alias("source"), F.substring("text", 1, 40).alias("content")), F.struct(F.col("lang").alias("source"), F.right("text", F.lit(20)).alias("content")))
-    return T(spark, d, "documents").select("doc_id", dc.prompt(F.concat(F.lit("q"), "doc_id"), e).alias("prompt"))
-
-
 @query("SELECT d.doc_id, 'EVIDENCE' || chr(10) || '[1] ' || source || chr(10) || coalesce(text, '') || chr(10) || '[2] ' || lang || chr(10) || coalesce(text, '') || chr(10) || 'HISTORY' || chr(10) || chr(10) || 'QUESTION' || chr(10) || 'q' || d.doc_id AS prompt FROM documents d")
-def prompt_assembly_whole(spark, d):
+def prompt_assembly(spark, d):
     text = F.coalesce("text", F.lit(""))
     e = F.array(*(F.struct(F.col(c).alias("source"), text.alias("content")) for c in ("source", "lang")))
     return T(spark, d, "documents").select("doc_id", dc.prompt(F.concat(F.lit("q"), "doc_id"), e).alias("prompt"))

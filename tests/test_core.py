@@ -126,15 +126,15 @@ def test_title_suffix_asks_every_part(spark, tmp_path):
         for p, title in enumerate(names, 40):
             n = max((k for k in range(5, len(title) + 1) if title[-k:] in f"{asked} specification"), default=0)
             want |= {(q, p): n} if n else {}
-    whole = {(r["query_id"], r["p_partkey"]): r["n"] for r in core.QUERIES["title_suffix_match_all"](spark, str(tmp_path)).collect()}
+    whole = {(r["query_id"], r["p_partkey"]): r["n"] for r in core.QUERIES["title_suffix_match"](spark, str(tmp_path)).collect()}
     assert whole == want
     parts = spark.read.parquet(f"{DIR}/part.parquet")
-    assert core.QUERIES["title_suffix_match_all"](spark, DIR).select("query_id").distinct().count() == parts.filter("length(p_name) >= 5").count() > 50
+    assert core.QUERIES["title_suffix_match"](spark, DIR).select("query_id").distinct().count() == parts.filter("length(p_name) >= 5").count() > 50
 
 
 def test_prompt_holds_whole_texts(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
-    got = core.QUERIES["prompt_assembly_whole"](spark, DIR).collect()
+    got = core.QUERIES["prompt_assembly"](spark, DIR).collect()
     assert len(got) == len(texts) and max(map(len, texts.values())) > 60
     assert all(r["prompt"].count(texts[r["doc_id"]]) >= 2 for r in got)
 
