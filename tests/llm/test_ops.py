@@ -342,22 +342,6 @@ def test_packing_optimal():
         assert found.ended and found.sequences == (fewest(items, cap) if items else 0) >= found.bound
 
 
-def test_neighbours_need_the_rounds(spark, monkeypatch):
-    rng, n = np.random.default_rng(8), 5000
-    x = rng.normal(size=(500, 64))[rng.integers(0, 500, n)] + rng.normal(size=(n, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    df, whole, recall = spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": x.tolist()})), ann.build_graph, {}
-    for rounds in (12, 0):
-        monkeypatch.setattr(ann, "build_graph", lambda p, dim, n, k, r=rounds: whole(p, dim, n, k, rounds=r))
-        got, hit = ann.nearest(df).toPandas(), 0
-        for i in range(0, n, 20):
-            s = x @ x[i]
-            s[i] = -np.inf
-            hit += len(set(np.argsort(-s)[:20]) & set(got[got.query_id == i].vec_id))
-        recall[rounds] = hit / n
-    assert recall[12] >= 0.93 and recall[0] <= recall[12] - 0.05
-
-
 def test_toxicity_on_tables(spark):
     d = DIR.replace("sf0.001", "sf0.1")
     labels = spark.read.parquet(f"{d}/labels.parquet")
