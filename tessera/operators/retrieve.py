@@ -145,7 +145,7 @@ def vector_search(items: DataFrame, queries: DataFrame, k: int = 10, where: str
         for batch in batches:
             for ids, vecs, q_ids, q_vecs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 i, q = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                s = np.round(np.frombuffer(q_vecs, "<f8").reshape(len(q), -1) @ np.frombuffer(vecs, "<f8").reshape(len(i), -1).T, 6)
+                s = np.round(np.frombuffer(q_vecs, "<f8").reshape(len(q), -1) @ np.frombuffer(vecs, "<f8").reshape(len(i), -1).T, 6) + 0.0  # no negative zero
                 if len(i) > k:  # the k best and what ties with the last of them
                     last = np.partition(s, len(i) - k, axis=1)[:, len(i) - k]
                     row, col = np.nonzero(s >= last[:, None])
