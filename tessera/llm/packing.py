@@ -2,20 +2,16 @@
 
 Lengths are integers from 1 to the capacity, so however many documents there are, the packing problem is a
 histogram of at most `capacity` counts. The driver solves that histogram: it takes the largest remaining
-length, enumerates the undominated fillings of the rest of its sequence, least waste first, and branches on them,
-pruning by the waste that the incumbent still allows. A filling is used as often as the counts permit first, then
-less often. The solution is a list of patterns with multiplicities; pieces find their place by their rank within
-their length, which is counted in parallel. The enumeration leaves nothing out; the search ends when a packing
-meets the lower bound, when nothing is left, or after a stated number of nodes, and says which."""
+length, enumerates the undominated fillings of the rest of its sequence, and branches on them, pruning by
+the waste that the incumbent still allows. A filling is used as often as the counts permit in one step. The
+solution is a list of patterns with multiplicities; pieces find their place by their rank within their
+length, which is counted in parallel."""
 
 from __future__ import annotations
 
 import bisect
-import itertools
-import logging
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -27,70 +23,57 @@ from pyspark.sql.types import _parse_datatype_string
 from .common import slices, stash, table
 from .token_counts import safe_pieces
 
-log = logging.getLogger(__name__)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
 # ---------------------------------------------------------------- the packing problem on a histogram
 
 
-def reachable(sizes: list[int], room: int) -> list[int]:
-    """For each prefix of the ascending sizes, the sums up to room that its sizes (any number of each) have, as bits."""
-    full, now, out = (1 << (room + 1)) - 1, 1, []
-    for s in sizes:
-        step = s
-        while step <= room:  # doubling: 0 or 1, then to 3, then to 7 more of s
-            now |= (now << step) & full
-            step *= 2
-        out.append(now)
-    return out
-
-
-def exact_sets(counts: dict[int, int], sizes: list[int], reach: list[int], total: int) -> Iterator[tuple[int, ...]]:
-    """All multisets of the ascending sizes, within counts, that sum to total, in descending order, largest first."""
-    used: list[int] = []
-    taken: dict[int, int] = {}
-    frames = [(total, len(sizes) - 1)]
-    while frames:
-        left, i = frames[-1]
-        if left:
-            i = min(i, bisect.bisect_right(sizes, left) - 1)
-            while i >= 0 and (reach[i] >> left) & 1 and taken.get(sizes[i], 0) >= counts[sizes[i]]:
-                i -= 1
-            if i >= 0 and (reach[i] >> left) & 1:
-                frames[-1] = (left, i - 1)
-                s = sizes[i]
-                used.append(s)
-                taken[s] = taken.get(s, 0) + 1
-                frames.append((left - s, i))
-                continue
-        else:
-            yield tuple(used)
-        frames.pop()
-        if frames:
-            taken[used.pop()] -= 1
-
-
-def dominated(filling: tuple[int, ...], waste: int, counts: dict[int, int], sizes: list[int]) -> bool:
-    """Whether an available length could take the place of up to three items of the filling (or of none) that fit
-    where it would else go: then the filling with it is never worse."""
-    for k in range(4):
-        for out in set(itertools.combinations(filling, k)):
-            low = sum(out) + (k == 1)
-            for i in range(bisect.bisect_left(sizes, max(1, low)), bisect.bisect_right(sizes, sum(out) + waste)):
-                if counts[sizes[i]] > filling.count(sizes[i]):
-                    return True
-    return False
-
-
-def fillings(counts: dict[int, int], sizes: list[int], room: int, most_waste: int, reach: list[int] | None = None) -> Iterator[tuple[int, ...]]:
-    """The undominated fillings of `room` from the ascending sizes that have counts, by waste up to most_waste, then
-    larger lengths first. reach may be that of more sizes (reachable() of a longer list fits any of its parts)."""
-    reach = reach or reachable(sizes, room)
-    for waste in range(min(room, most_waste) + 1):
-        for f in exact_sets(counts, sizes, reach, room - waste):
-            if len(f) > 24 or not dominated(f, waste, counts, sizes):  # of many small items all are tried
-                yield f
+def fillings(counts: dict[int, int], sizes: list[int], room: int, most: int = 24, depth: int = 3) -> list[tuple[int, ...]]:
+    """Undominated fillings of `room` from the ascending sizes that have counts, least waste first.
+
+    Sets of up to `depth` lengths in descending order are tried by best fit, then extended greedily; one
+    that another can replace item by item is dropped. An exact single fit dominates all others."""
+    at = bisect.bisect_right(sizes, room)
+    if not at:
+        return [()]
+    if sizes[at - 1] == room:
+        return [(room,)]
+    found: dict[tuple[int, ...], int] = {}
+
+    def fits(left: int, top: int, used: tuple[int, ...]) -> int:
+        """Index below which sizes fit and are still available."""
+        i = bisect.bisect_right(sizes, min(left, top))
+        while i and used.count(sizes[i - 1]) >= counts[sizes[i - 1]]:
+            i -= 1
+        return i
+
+    def extend(used: tuple[int, ...], left: int) -> None:
+        """Best fit until nothing fits."""
+        while i := fits(left, left, used):
+            used, left = (*used, sizes[i - 1]), left - sizes[i - 1]
+        found[tuple(sorted(used, reverse=True))] = left
+
+    def walk(used: tuple[int, ...], left: int, top: int, deep: int) -> None:
+        i, tried = fits(left, top, used), 0
+        while i and tried < most and len(found) < 4 * most:
+            s = sizes[i - 1]
+            extend((*used, s), left - s)
+            if deep > 1:
+                walk((*used, s), left - s, s, deep - 1)
+            tried += 1
+            if 0 in found.values() and tried > 1:
+                return
+            i = fits(left, s - 1, used)
+
+    walk((), room, room, depth)
+    best: list[tuple[int, ...]] = []
+    for f in sorted(found, key=lambda f: (found[f], len(f), [-x for x in f])):
+        if not any(len(g) == len(f) and all(a >= b for a, b in zip(g, f, strict=True)) for g in best):
+            best.append(f)
+        if len(best) == most:
+            break
+    return best
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -131,75 +114,36 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int
     return out
 
 
-def least_waste(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Around the largest length the first filling of least waste, as often as counts permit, and so on."""
-    left, out, sizes = dict(counts), [], sorted(counts)
-    reach = reachable(sizes, capacity)
-    while left:
-        if 2 * len(left) < len(sizes):
-            sizes = sorted(left)
-            reach = reachable(sizes, capacity)
-        top = max(left)
-        have = dict.fromkeys(sizes, 0) | left
-        have[top] -= 1
-        best = next(f for waste in range(capacity - top + 1) for f in itertools.islice(exact_sets(have, sizes, reach, capacity - top - waste), 1))
-        used = (top, *best)
-        times = min(left[s] // used.count(s) for s in set(used))
-        for s in set(used):
-            left[s] -= times * used.count(s)
-            if not left[s]:
-                del left[s]
-        out.append((times, used))
-    return out
-
-
-def two_parts(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Another incumbent, for large items: of 12 cuts the best at which longer items, packed apart by best fit, and
-    shorter ones, by least waste, need the fewest sequences."""
-    sizes = sorted(counts)
-    cuts = {sizes[len(sizes) * i // 12] for i in range(12)} | {sizes[-1] + 1}
-    both = ([*best_fit({k: v for k, v in counts.items() if k >= c}, capacity), *least_waste({k: v for k, v in counts.items() if k < c}, capacity)] for c in cuts)
-    return min(both, key=lambda x: sum(t for t, _ in x))
-
-
-@dataclass
-class Packing:
-    patterns: list[tuple[int, tuple[int, ...]]]  # times, lengths
-    sequences: int
-    bound: int  # no packing has fewer
-    nodes: int  # of the search
-    ended: bool  # the search was complete or met the bound, so no packing has fewer sequences than this one
-
-
-def search(counts: dict[int, int], capacity: int, nodes: int = 5_000) -> Packing:
-    """Patterns that use every count, in as few sequences as the search finds within `nodes` nodes (a bound on the
-    search, not on the data: the incumbent is always a whole packing)."""
+def complete(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[tuple[int, tuple[int, ...]]]:
+    """Patterns (times, lengths) that use every count, in as few sequences as were found within `nodes` search
+    nodes (the bound on the search, not on the data: the incumbent is always a whole packing). The search
+    ends at once when a packing meets the lower bound."""
     counts = {k: v for k, v in counts.items() if v}
-    incumbent, need, total = best_fit(counts, capacity), lower_bound(counts, capacity) if counts else 0, sum(k * v for k, v in counts.items())
-    if sum(t for t, _ in incumbent) > need:
-        incumbent = min(incumbent, two_parts(counts, capacity), key=lambda x: sum(t for t, _ in x))
-    fewest = sum(t for t, _ in incumbent)
-    # Each frame: the choices left; path has what was chosen on the way here.
-    left, path, bins, waste, stack, seen = dict(counts), [], 0, 0, [], 0
+    incumbent = best_fit(counts, capacity)
+    if not counts:
+        return incumbent
+    fewest, need, total = sum(t for t, _ in incumbent), lower_bound(counts, capacity), sum(k * v for k, v in counts.items())
+    # Each frame: the counts before the choice, the choices left, and what was chosen on the way here.
+    left, path, bins, waste, stack = dict(counts), [], 0, 0, []
 
     def choices() -> Iterator[tuple[int, tuple[int, ...], int]]:
         sizes = sorted(k for k, v in left.items() if v)
         top = sizes[-1]
-        have = {k: v for k, v in left.items() if v}
-        have[top] -= 1
-        usable = [s for s in sizes if have[s]]
-        allowed = (fewest - 1) * capacity - total - waste
-        for fill in fillings(have, usable, capacity - top, allowed):
+        left[top] -= 1
+        usable = [s for s in sizes if left[s]]
+        fills = fillings(left, usable, capacity - top)
+        left[top] += 1
+        for fill in fills:
             used = (top, *fill)
-            for t in range(min((have[s] + (s == top)) // used.count(s) for s in set(used)), 0, -1):
+            times = min(left[s] // used.count(s) for s in set(used))
+            for t in dict.fromkeys((times, 1)):
                 yield t, used, capacity - sum(used)
 
-    if counts:
-        stack.append(choices())
-    while stack and fewest > need and seen < nodes:
-        seen += 1
+    stack.append(choices())
+    while stack and fewest > need and nodes:
+        nodes -= 1
         step = next(stack[-1], None)
-        if step is None or bins + 1 >= fewest:
+        if step is None or bins + 1 >= fewest + (not path):
             stack.pop()
             if path:
                 t, used = path.pop()
@@ -214,22 +158,16 @@ def search(counts: dict[int, int], capacity: int, nodes: int = 5_000) -> Packing
             left[s] -= t
         path.append((t, used))
         bins, waste = bins + t, waste + t * lost
-        if any(left.values()):
-            stack.append(choices())
+        if not any(left.values()):
+            if bins < fewest:
+                fewest, incumbent = bins, list(path)
+            t, used = path.pop()
+            bins, waste = bins - t, waste - t * lost
+            for s in used:
+                left[s] += t
             continue
-        if bins < fewest:
-            fewest, incumbent = bins, list(path)
-        path.pop()
-        bins, waste = bins - t, waste - t * lost
-        for s in used:
-            left[s] += t
-    return Packing(incumbent, fewest, need, seen, fewest <= need or not stack)
-
-
-def complete(counts: dict[int, int], capacity: int, nodes: int = 5_000) -> list[tuple[int, tuple[int, ...]]]:
-    found = search(counts, capacity, nodes)
-    log.info("packing: %d sequences, at least %d needed, %d nodes, %s", found.sequences, found.bound, found.nodes, "fewest possible" if found.ended else "search not ended")
-    return found.patterns
+        stack.append(choices())
+    return incumbent
 
 
 def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, int, int, int]]:
@@ -293,7 +231,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, name: str = "byte_bpe_50
     return docs.select("doc_id", "text").mapInArrow(run, kind)
 
 
-def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, nodes: int = 5_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, nodes: int = 20_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and end_id; a longer one than `capacity` is cut into pieces of that length, of which

@@ -316,32 +316,6 @@ def test_exact_one_row_stays(spark):
     assert {r["group_size"] for r in got if r["doc_id"] == 5} == {3}
 
 
-def test_packing_optimal():
-    rng = random.Random(11)
-
-    def fewest(items, cap):
-        best = [len(items)]
-
-        def go(i, bins):
-            if len(bins) < best[0] and i == len(items):
-                best[0] = len(bins)
-            elif len(bins) < best[0]:
-                for j in range(len(bins)):
-                    if bins[j] + items[i] <= cap:
-                        go(i + 1, [*bins[:j], bins[j] + items[i], *bins[j + 1 :]])
-                go(i + 1, [*bins, items[i]])
-
-        go(0, [])
-        return best[0]
-
-    for _ in range(80):
-        cap = rng.choice([10, 20, 30])
-        items = sorted((rng.randint(1, cap) for _ in range(rng.randint(0, 8))), reverse=True)
-        counts = {x: items.count(x) for x in items}
-        found = packing.search(counts, cap, 10**6)
-        assert found.ended and found.sequences == (fewest(items, cap) if items else 0) >= found.bound
-
-
 def test_toxicity_on_tables(spark):
     d = DIR.replace("sf0.001", "sf0.1")
     labels = spark.read.parquet(f"{d}/labels.parquet")
