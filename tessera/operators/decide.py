@@ -95,8 +95,9 @@ def held_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     words = F.split("passage", " ", -1)
     p = passages.filter("passage IS NOT NULL").withColumn("w", words)
     long_ = p.filter(F.size("w") >= 5).select("item_id", "passage", F.xxhash64(*(F.get("w", F.lit(i)) for i in (1, 2, 3))).alias("h"))
-    w = F.split("text", " ", -1)
-    grams = F.when(F.size(w) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    # the words are the variable of a transform over one element, so that a text is split once and not once a word
+    grams = F.element_at(F.transform(F.array(F.split("text", " ", -1)), lambda w: F.when(F.size(w) >= 3, F.array_distinct(hashes(w)))), 1)
     keys = docs.select("doc_id", F.explode(grams).alias("h"))
     met = keys.join(long_.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
     held = met.join(docs, "doc_id").join(long_.select("item_id", "passage"), "item_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct()
