@@ -260,3 +260,14 @@ def test_jobs(spark):
     assert got == {1: ("vectorizing", None), 2: ("failed", "no chunks to index"), 3: ("queued", None)}
     assert limits.progress(1, 2) == 87 and limits.progress(2, 2) == 95 and store.missing_fields(["a", "status"], d) == ["a"]
     assert store.health(None) == (True, 0, "")
+
+
+def test_held_passages(spark):
+    """Against brute force: nulls, empty and long texts, repeated rows, double spaces, passages of few words."""
+    texts = [(1, "a b c d e f"), (2, None), (3, ""), (4, "x a b  c d e"), (5, "zz a b c d eg"), (5, "zz a b c d eg"), (6, "word " * 20_000 + "a b c d e"), (7, "ab"), (8, "a b c d")]
+    passages = [("p", "a b c d e"), ("q", "a b  c d e"), ("r", "b"), ("s", "word word word word word"), ("t", None), ("u", "not in any of them"), ("v", "e a b c d")]
+    docs, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(passages, "item_id string, passage string")
+    got = dc.held_passages(docs, items).collect()
+    assert len(got) == len(set(got))
+    assert {tuple(r) for r in got} == {(i, k) for i, t in texts for k, p in passages if t is not None and p is not None and p in t}
+    assert dc.held_passages(docs.limit(0), items).count() == dc.held_passages(docs, items.limit(0)).count() == 0
