@@ -271,3 +271,13 @@ def test_held_passages(spark):
     assert len(got) == len(set(got))
     assert {tuple(r) for r in got} == {(i, k) for i, t in texts for k, p in passages if t is not None and p is not None and p in t}
     assert dc.held_passages(docs.limit(0), items).count() == dc.held_passages(docs, items.limit(0)).count() == 0
+
+
+def test_title_suffix_blocks_are_dealt(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(core, "PART_BLOCK", 2, raising=False)
+    names = ["misty green"] * 7 + ["green"] * 5 + ["rose"]
+    spark.createDataFrame(list(enumerate(names, 40)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = core.QUERIES["title_suffix_match"](spark, str(tmp_path)).collect()
+    assert len({(r["query_id"], r["p_partkey"]) for r in got}) == len(got) == 7 * 7 + 2 * 7 * 5 + 5 * 5
+    pairs = core.QUERIES["title_suffix_match"](spark, DIR)
+    assert pairs.select(F.spark_partition_id().alias("task")).distinct().count() > 4
