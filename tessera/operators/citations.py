@@ -1,14 +1,14 @@
 """Cited articles: what a question, an entry or an answer cites, found in the tables.
 
-Names meet texts by short substrings that both must hold, so no join lists all pairs."""
+Names meet texts by substrings that both must hold, so no join lists all pairs."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numerals import article_number, article_tokens
-from ..functions.questions import title_suffix
 from ..functions.text import query_form, title_form
+from .retrieve import BROADCAST_ROWS, small
 
 LEAST = 3  # characters of a title's ending that name it
 
@@ -25,6 +25,28 @@ def document_refs(documents: DataFrame) -> DataFrame:
     return documents.filter("status = 'indexed'").select("document_id", F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(stem).alias("title"))
 
 
+def longest_endings(held: DataFrame, names: DataFrame) -> DataFrame:
+    """held (query_id, form), names (document_id, title, name) -> query_id, document_id, title, matched: of the names
+    of which form holds an ending, the one with the longest, then the shortest, then of the smallest document_id.
+
+    Every ending of a name stands for the first of the names that share it, so a question meets an ending once,
+    however many names have it. Only places where some name's last characters stand are looked at."""
+    tails = names.groupBy(F.right("name", F.lit(LEAST)).alias("tail")).agg(F.max(F.length("name")).alias("most"))
+    places = held.filter(F.length("form") >= LEAST).select("query_id", "form", F.explode(F.sequence(F.lit(LEAST), F.length("form"))).alias("to"))
+    places = places.withColumn("tail", F.substr("form", F.col("to") - (LEAST - 1), F.lit(LEAST))).join(small(tails), "tail")
+    rows = places.select("query_id", "form", "to", F.explode(F.sequence(F.lit(LEAST), F.least("to", "most"))).alias("matched"))
+    rows = rows.select("query_id", "matched", F.substr("form", F.col("to") - F.col("matched") + 1, F.col("matched")).alias("ending"))
+    known = names.select("document_id", "title", "name", F.length("name").alias("n"), F.explode(F.sequence(F.lit(LEAST), F.length("name"))).alias("k"))
+    known = known.select(F.right("name", F.col("k")).alias("ending"), "n", "document_id", "title")
+    few = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:
+        rows = F.broadcast(rows)
+        known = known.join(F.broadcast(rows.select("ending").distinct()), "ending", "left_semi")
+    first = known.groupBy("ending").agg(F.min(F.struct("n", "document_id", "title")).alias("first"))
+    met = first.join(rows, "ending").groupBy("query_id").agg(F.min(F.struct((-F.col("matched")).alias("less"), "first")).alias("best"))
+    return met.select("query_id", "best.first.document_id", "best.first.title", (-F.col("best.less")).alias("matched"))
+
+
 def parse_citations(questions: DataFrame, refs: DataFrame) -> DataFrame:
     """questions (query_id, text) -> query_id, usable, article, number, document_id, title, matched, reason.
 
@@ -34,10 +56,7 @@ def parse_citations(questions: DataFrame, refs: DataFrame) -> DataFrame:
     q = questions.select("query_id", query_form(F.coalesce("text", F.lit(""))).alias("form"), tokens.alias("tokens"))
     q = q.withColumn("article", F.when(F.size("tokens") == 1, F.get("tokens", F.lit(0)))).withColumn("number", article_number(F.col("article")))
     names = refs.select("document_id", "title", title_form(F.coalesce("title", F.lit(""))).alias("name")).filter(F.length("name") >= LEAST)
-    held = q.filter("number IS NOT NULL").select("query_id", "form", F.explode(substrings(F.col("form"), LEAST)).alias("tail"))
-    met = held.join(names.withColumn("tail", F.right("name", F.lit(LEAST))), "tail").withColumn("matched", title_suffix(F.col("name"), F.col("form"), LEAST))
-    order = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.length("name"), "document_id")
-    best = met.filter("matched > 0").withColumn("rn", F.row_number().over(order)).filter("rn = 1").select("query_id", "document_id", "title", "matched")
+    best = longest_endings(q.filter("number IS NOT NULL").select("query_id", "form"), names)
     out = q.join(best, "query_id", "left")
     reason = F.when(F.size("tokens") == 0, "no article").when(F.size("tokens") > 1, "several articles").when(F.col("number").isNull(), "article without a number").when(F.col("document_id").isNull(), "no known title").otherwise("ok")
     return out.select("query_id", (reason == "ok").alias("usable"), "article", "number", "document_id", "title", F.coalesce("matched", F.lit(0)).alias("matched"), reason.alias("reason"))

@@ -281,3 +281,20 @@ def test_title_suffix_blocks_are_dealt(spark, tmp_path, monkeypatch):
     assert len({(r["query_id"], r["p_partkey"]) for r in got}) == len(got) == 7 * 7 + 2 * 7 * 5 + 5 * 5
     pairs = core.QUERIES["title_suffix_match"](spark, DIR)
     assert pairs.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_longest_endings_by_brute_force(spark, monkeypatch, most):
+    for module in (citations, rt):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", most, raising=False)
+    rng = random.Random(7)
+    word = lambda a, b: "".join(rng.choice("ab1") for _ in range(rng.randint(a, b)))
+    names, forms = {i: word(3, 9) for i in range(150)}, {i: word(0, 16) for i in range(100)}
+    want = {}
+    for q, form in forms.items():
+        found = [(-max(k for k in range(3, len(n) + 1) if n[-k:] in form), len(n), i) for i, n in names.items() if n[-3:] in form]
+        if found:
+            want[q] = (min(found)[2], -min(found)[0])
+    held = spark.createDataFrame(list(forms.items()), "query_id long, form string")
+    got = citations.longest_endings(held, spark.createDataFrame([(i, n, n) for i, n in names.items()], "document_id long, title string, name string"))
+    assert {r["query_id"]: (r["document_id"], r["matched"]) for r in got.collect()} == want and len(want) > 50
