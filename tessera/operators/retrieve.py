@@ -10,12 +10,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 TOKEN = r"[a-z0-9][a-z0-9._:/\-()]*"
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
 #: Question rows (terms or vectors) that are broadcast at most.
 BROADCAST_ROWS = 200_000
+#: Tokens of a block of the lexical index, about; a longer chunk is a block of its own.
+BLOCK_TOKENS = 2_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -40,15 +43,43 @@ def lexical_text(filename: Column, title: Column, section: Column, article: Colu
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """key, dl, term, tf. Chunks without a token have no rows and don't count."""
-    t = chunks.select(F.col(key), tokens(F.col(text)).alias("terms")).withColumn("dl", F.size("terms")).filter("dl > 0")
-    return t.select(key, "dl", F.explode("terms").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-
-
-def term_weights(post: DataFrame, key: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
+    """block, term, keys, dls, tfs, docs, length: of each block of chunks, which is named by its first key, a row for
+    each term, sorted, with the chunks that hold it, their lengths and counts. A block's first row counts its chunks
+    and their tokens in docs and length, the others 0. Chunks without a token have no place. Nothing is shuffled."""
+    of = chunks.schema[key].dataType.simpleString()
+
+    def counted(b: pa.RecordBatch) -> pa.RecordBatch:
+        terms = b.column(1)
+        dl = np.diff(terms.offsets.to_numpy())
+        words = terms.flatten().dictionary_encode()
+        order = pc.sort_indices(words.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        pair, tf = np.unique(place[words.indices.to_numpy()] * len(b) + np.repeat(np.arange(len(b)), dl), return_counts=True)
+        term, row = np.divmod(pair, len(b))
+        at = pa.array(np.searchsorted(term, np.arange(len(order) + 1)), pa.int32())
+        first = np.zeros((2, len(order)), np.int64)
+        first[:, 0] = len(b), dl.sum()
+        lists = (b.column(0).take(pa.array(row)), pa.array(dl[row], pa.int32()), pa.array(tf, pa.int32()))
+        block = pa.repeat(b.column(0)[0], len(order))
+        return pa.RecordBatch.from_arrays([block, words.dictionary.take(pa.array(order)), *(pa.ListArray.from_arrays(at, x) for x in lists), *map(pa.array, first)], names=["block", "term", "keys", "dls", "tfs", "docs", "length"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends, at = b.column(1).offsets.to_numpy(), 0
+            while at < len(b):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_TOKENS, "right")) - 1)
+                yield counted(b.slice(at, to - at))
+                at = to
+
+    t = chunks.select(F.col(key), tokens(F.col(text)).alias("terms")).filter(F.size("terms") > 0)
+    return t.mapInArrow(run, f"block {of}, term string, keys array<{of}>, dls array<int>, tfs array<int>, docs long, length long")
+
+
+def term_weights(post: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, df, idf) with the floor for terms of more than half of the chunks, and one row of n and avgdl."""
-    corpus = post.groupBy(key, "dl").agg(F.lit(1).alias("one")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
+    corpus = post.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), (F.sum("length") / F.sum("docs")).alias("avgdl"))
+    df = post.groupBy("term").agg(F.sum(F.size("keys")).alias("df")).crossJoin(F.broadcast(corpus))  # one row
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, F.lit(EPSILON) * F.col("mean")).otherwise(F.col("raw"))
@@ -62,7 +93,7 @@ def ranked(df: DataFrame, by: str, n: int, tie: str = "chunk_id", to: str = "ran
 
 @dataclass(frozen=True)
 class Index:
-    """A lexical index: postings (key, dl, term, tf) sorted by term, term weights, one row of n and avgdl."""
+    """A lexical index: postings by blocks of chunks, term weights, one row of n and avgdl."""
 
     post: DataFrame
     terms: DataFrame
@@ -77,12 +108,11 @@ def version_of(files: DataFrame) -> str:
 
 
 def build_index(chunks: DataFrame, path: str, key: str = "chunk_id", text: str = "text") -> Index:
-    """Write the index of chunks to path: postings dealt and sorted by term, so a question reads the row groups of
-    its terms; weights and corpus figures beside them."""
+    """Write the index of chunks to path: postings by blocks of chunks, where they are counted; weights and corpus
+    figures beside them."""
     spark = chunks.sparkSession
-    postings(chunks, key, text).repartition("term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{path}/post")
-    post = spark.read.parquet(f"{path}/post")
-    terms, corpus = term_weights(post, key)
+    postings(chunks, key, text).write.mode("overwrite").parquet(f"{path}/post")
+    terms, corpus = term_weights(spark.read.parquet(f"{path}/post"))
     corpus.write.mode("overwrite").parquet(f"{path}/corpus")
     terms.write.mode("overwrite").parquet(f"{path}/terms")
     return open_index(spark, path)
@@ -94,7 +124,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
 
 def fresh_index(chunks: DataFrame, files: DataFrame, folder: str, key: str = "chunk_id", text: str = "text") -> Index:
     """The index of chunks in folder, built again only if the files behind them (a file scan) have changed."""
-    spark, path = chunks.sparkSession, f"{folder}/index-{version_of(files)}"
+    spark, path = chunks.sparkSession, f"{folder}/index-blocks-{version_of(files)}"
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/terms/_SUCCESS")
     if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
         return open_index(spark, path)
@@ -108,12 +138,41 @@ def bm25(chunks: DataFrame | Index, queries: DataFrame, k: int = 10, key: str =
         post, idf, corpus = chunks.post, chunks.terms, chunks.corpus
     else:
         post = postings(chunks, key, text)
-        idf, corpus = term_weights(post, key)
+        idf, corpus = term_weights(post)
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = asked.join(idf, "term")
-    hits = post.join(small(asked), "term").crossJoin(F.broadcast(corpus))  # one row
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query_id", F.col(key).alias("chunk_id")).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    asked = asked.join(idf, "term").groupBy("term").agg(F.collect_list(F.struct("query_id", (F.col("times") * F.col("idf")).alias("weight"))).alias("asked"))
+    hits = post.select("block", "term", "keys", "dls", "tfs").join(small(asked), "term").crossJoin(F.broadcast(corpus))  # one row
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema, *post.schema)}
+
+    def best(table: pa.Table) -> pa.Table:
+        """The k best of a block's chunks for each question; the sums are over one block, so in one place."""
+        avgdl = table.column("avgdl")[0].as_py()
+        keys, dls, tfs = (table.column(c).combine_chunks() for c in ("keys", "dls", "tfs"))
+        ends, asks = np.r_[0, np.cumsum(pc.list_value_length(keys).to_numpy())], table.column("asked").combine_chunks()
+        words = keys.flatten().dictionary_encode()
+        names, place = words.dictionary, words.indices.to_numpy()
+        rank = np.argsort(pc.sort_indices(names).to_numpy())
+        tf, dl = tfs.flatten().to_numpy(), dls.flatten().to_numpy()
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+        who = asks.flatten().field("query_id").dictionary_encode()
+        q, row = who.indices.to_numpy(), np.repeat(np.arange(len(asks)), pc.list_value_length(asks).to_numpy())
+        weight = asks.flatten().field("weight").to_numpy()
+        out_q, out_c, out_s = [], [], []
+        turns = np.argsort(q, kind="stable")
+        for i, mine in enumerate(np.split(turns, np.searchsorted(q[turns], np.arange(1, len(who.dictionary))))):
+            at = np.concatenate([np.arange(ends[row[j]], ends[row[j] + 1]) for j in mine])
+            w = np.repeat(weight[mine], ends[row[mine] + 1] - ends[row[mine]])
+            s = np.round(np.bincount(place[at], w * part[at], len(names)), 6)
+            good = np.flatnonzero(s > 0)
+            if len(good) > k:  # what can be among the k best, ties with the last of them too
+                good = good[s[good] >= np.partition(s[good], len(good) - k)[len(good) - k]]
+            good = good[np.lexsort((rank[good], -s[good]))[:k]]
+            out_q.append(np.full(len(good), i))
+            out_c.append(good)
+            out_s.append(s[good])
+        return pa.table({"query_id": who.dictionary.take(pa.array(np.concatenate(out_q))), "chunk_id": names.take(pa.array(np.concatenate(out_c))), "score": np.concatenate(out_s)})
+
+    scored = hits.groupBy("block").applyInArrow(best, f"query_id {kinds['query_id']}, chunk_id {kinds['block']}, score double")
     return ranked(scored, "score", k)
 
 

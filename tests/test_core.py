@@ -298,3 +298,19 @@ def test_longest_endings_by_brute_force(spark, monkeypatch, most):
     held = spark.createDataFrame(list(forms.items()), "query_id long, form string")
     got = citations.longest_endings(held, spark.createDataFrame([(i, n, n) for i, n in names.items()], "document_id long, title string, name string"))
     assert {r["query_id"]: (r["document_id"], r["matched"]) for r in got.collect()} == want and len(want) > 50
+
+
+def test_index_by_blocks(spark, monkeypatch):
+    """Blocks of any size score alike, text keys and ties too; postings and their figures need no shuffle of chunks."""
+    rows = [(f"c{i:02}", t) for i, t in enumerate(["b a a", "a", "", None, "条文 a c", "c " * 30, "a", "b b d", "条文", "d e f"])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "a a b"), (2, "条文 d"), (3, "nothing"), (4, "e c")], "query_id int, text string")
+    whole = sorted(map(tuple, rt.bm25(chunks, asked, 3).collect()))
+    assert sorted(r[1] for r in whole if r[0] == 1) == ["c00", "c07"] and {r[0] for r in whole} == {1, 2, 4}
+    tie = rt.bm25(chunks, spark.createDataFrame([(5, "d")], "query_id int, text string"), 1)
+    assert [r["chunk_id"] for r in tie.collect()] == ["c07"]
+    monkeypatch.setattr(rt, "BLOCK_TOKENS", 3)
+    post = rt.postings(chunks)
+    assert post.select("block").distinct().count() > 3 and "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
+    assert tuple(rt.term_weights(post)[1].first()) == (8, (3 + 1 + 5 + 30 + 1 + 3 + 3 + 3) / 8)
+    assert sorted(map(tuple, rt.bm25(chunks, asked, 3).collect())) == whole
