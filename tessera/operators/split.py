@@ -8,7 +8,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import NUMERALS
@@ -23,6 +26,7 @@ REFERS = re.compile(rf"规定|所称|所列|列明|要求|规定情形|第[{NUME
 CONNECTORS, ENDS, BLANK = "、，,。；;：:至和及与或称并且", "。；;：:\n", " \t　"
 STRONG = re.compile(r"#{1,6}\s+\S|第[一二三四五六七八九十百千]+[条章节编]|(?i:Article)\s+\d+|Standard\s+[IVX]+(?:\s*\([A-Z]\))?\b|[IVX]{1,5}\.\s+[A-Z]|\d+\.\s+[A-Z]|[A-Z][A-Z0-9 ,&/'\-]{8,}$")
 WEAK = re.compile(r"[A-Z]\.\s+\S|\d+\.\d+\s+\S|[a-z]\)\s+\S")
+PART = 4_000_000  # bytes of text held as Python objects at once; a longer text is alone
 CHUNK = "start int, end int, content string, article_number string"
 
 
@@ -145,20 +149,38 @@ def choose(whole: str) -> str:
     return "legal" if looks_legal(whole) else "semantic" if looks_structured(whole) else "unstructured"
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """The rows of batches, as few at once as their texts are long."""
+    for b in batches:
+        ends = np.r_[0, np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy())]
+        at = 0
+        while at < len(b):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + PART, "right")) - 1)
+            yield b.slice(at, to - at).to_pandas()
+            at = to
+
+
+def batch_of(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(kind)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+
+
 def document_splitters(sections: DataFrame) -> DataFrame:
     """doc_id, whole: the splitter that a document's sections call for together: legal with enough article
     boundaries in all, semantic with enough headings among its first lines, else by size. No text is moved."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    kind = pa.schema({"doc_id": pa.int64(), "section_index": pa.int32(), "articles": pa.int64(), "n_lines": pa.int64(), "heads": pa.list_(pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
             rows = []
             for doc, sec, text in zip(b.doc_id, b.section_index, b.text, strict=True):
                 lines = (text or "").split("\n")
                 heads = [i for i, x in enumerate(lines[:HEADING_LINES]) if level(x) > 0]
                 rows.append((doc, sec, sum(ok for *_, ok, _ in boundaries(text or "")), len(lines) + 1, heads))
-            yield pd.DataFrame(rows, columns=["doc_id", "section_index", "articles", "n_lines", "heads"])
+            yield batch_of(rows, kind)
 
-    found = sections.filter("text <> ''").select("doc_id", "section_index", "text").mapInPandas(run, "doc_id long, section_index int, articles long, n_lines long, heads array<long>")
+    found = sections.filter("text <> ''").select("doc_id", "section_index", "text").mapInArrow(run, "doc_id long, section_index int, articles long, n_lines long, heads array<long>")
     before = Window.partitionBy("doc_id").orderBy("section_index").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("at", F.coalesce(F.sum("n_lines").over(before), F.lit(0)))
     g = found.groupBy("doc_id").agg(F.sum("articles").alias("articles"), F.sum(F.size(F.filter("heads", lambda i: i + F.col("at") < HEADING_LINES))).alias("heads"))
@@ -173,8 +195,10 @@ def split_sections(sections: DataFrame, splitter: str = "auto") -> DataFrame:
     rows = sections.select("doc_id", "section_index", "text")
     rows = rows.join(document_splitters(sections), "doc_id", "left") if auto else rows.withColumn("whole", F.lit(splitter))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    kind = pa.schema({"doc_id": pa.int64(), "section_index": pa.int32(), "splitter": pa.string(), "start": pa.int32(), "end": pa.int32(), "content": pa.string(), "article_number": pa.string()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
             rows = []
             for doc, sec, text, name in zip(b.doc_id, b.section_index, b.text, b.whole, strict=True):
                 text = text or ""
@@ -182,19 +206,21 @@ def split_sections(sections: DataFrame, splitter: str = "auto") -> DataFrame:
                     name = "semantic"
                 name = name or "unstructured"
                 rows += [(doc, sec, name, x, y, text[x:y], t) for x, y, t in SPLITTERS[name](text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "section_index", "splitter", "start", "end", "content", "article_number"])
+            yield batch_of(rows, kind)
 
-    return rows.select("doc_id", "section_index", "text", "whole").mapInPandas(run, f"doc_id long, section_index int, splitter string, {CHUNK}")
+    return rows.select("doc_id", "section_index", "text", "whole").mapInArrow(run, f"doc_id long, section_index int, splitter string, {CHUNK}")
 
 
 def boundary_audit(docs: DataFrame) -> DataFrame:
     """doc_id, place, token, accepted, reason."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(d, *x) for d, t in zip(b.doc_id, b.text, strict=True) for x in boundaries(t or "")], columns=["doc_id", "place", "token", "accepted", "reason"])
+    kind = pa.schema({"doc_id": pa.int64(), "place": pa.int32(), "token": pa.string(), "accepted": pa.bool_(), "reason": pa.string()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            yield batch_of([(d, *x) for d, t in zip(b.doc_id, b.text, strict=True) for x in boundaries(t or "")], kind)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, place int, token string, accepted boolean, reason string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, place int, token string, accepted boolean, reason string")
 
 
 def number_chunks(chunks: DataFrame) -> DataFrame:
