@@ -1,13 +1,20 @@
-"""Cleaning and normalisation as column expressions; (?U) gives Java's classes their Unicode meaning."""
+"""Cleaning and normalisation as columns, expressions but for unwrapping; (?U) gives Java's classes their Unicode meaning."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Character ranges, limits and marks of the source format.
 CJK = r"一-鿿　-〿＀-￯"
 LONG_LINE = 300
 NUMERALS = "一二三四五六七八九十百零〇"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # what Java's (?U)\s means
+STARTS = re.compile(rf"第[{NUMERALS}\d]{{1,4}}[条章节编]|[一二三四五六七八九十]+、|（[一二三四五六七八九十]+）|\([一二三四五六七八九十]+\)|#{{1,6}}[{SPACE}]|[IVX]{{1,5}}\.[{SPACE}]")
+PAGE, DASHES = re.compile(rf"[{SPACE}—\-–]*\d{{1,4}}[{SPACE}—\-–]*"), re.compile(rf"[{SPACE}—\-–]*")
+SENTENCE_ENDS, CJK_CHAR = "。！？；：", re.compile(f"[{CJK}]")
 
 
 def sub(col: Column, pattern: str, to: str = "") -> Column:
@@ -31,22 +38,32 @@ def clean_text(col: Column) -> Column:
     return strip(sub(sub(x, r"(?U)(?m)[^\S\n]+$"), r"\n{3,}", "\n\n"))
 
 
+def unwrapped(text: str) -> str:
+    """text with its wrapped lines joined, in one pass: of the line so far only its last part, and whether it's dashes,
+    a page number or neither, decide how it goes on."""
+    out: list[str] = []
+    last, kind = "", ""
+    for i, raw in enumerate(text.split("\n")):
+        line = raw.strip()
+        own = "page" if PAGE.fullmatch(line) else "dashes" if DASHES.fullmatch(line) else "text"
+        if not i or not line or not last or last[-1] in SENTENCE_ENDS or last[-1] == "第" or kind == "page" or STARTS.match(line):
+            out += ["\n", line] if i else [line]
+            kind = own
+        else:
+            out += [line] if CJK_CHAR.match(last[-1]) or CJK_CHAR.match(line) else [" ", line]
+            kind = own if kind == "dashes" else kind
+        last = line
+    return "".join(out)
+
+
 def unwrap_lines(col: Column) -> Column:
     """Join wrapped lines: a line goes on in the next one unless it ends a sentence, is a page number or ends
-    with a lone ordinal mark, or the next starts a structure. A fold over the lines."""
-    start = rf"(?U)^(?:第[{NUMERALS}\d]{{1,4}}[条章节编]|[一二三四五六七八九十]+、|（[一二三四五六七八九十]+）|\([一二三四五六七八九十]+\)|#{{1,6}}\s|[IVX]{{1,5}}\.\s)"
-    page, cjk_end, cjk_start = r"(?U)^[\s—\-–]*\d{1,4}[\s—\-–]*$", rf"[{CJK}]$", rf"^[{CJK}]"
-    zero = F.array().cast("array<string>")
-
-    def step(acc: Column, raw: Column) -> Column:
-        line = strip(raw)
-        last = F.element_at(acc, -1)
-        stays = (F.size(acc) == 0) | (line == "") | (last == "") | last.rlike("[。！？；：]$") | line.rlike(start) | last.rlike(page) | last.rlike("第$")
-        gap = F.when(last.rlike(cjk_end) | line.rlike(cjk_start), F.lit("")).otherwise(F.lit(" "))
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, gap, line)))
-        return F.when(F.coalesce(stays, F.lit(True)), F.array_append(acc, line)).otherwise(joined)
-
-    return F.array_join(F.aggregate(F.split(col, "\n"), zero, step), "\n")
+    with a lone ordinal mark, or the next starts a structure."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unwrapped(t))
+
+    return F.pandas_udf(run, "string")(col)
 
 
 def long_lines(col: Column) -> Column:

@@ -314,3 +314,28 @@ def test_index_by_blocks(spark, monkeypatch):
     assert post.select("block").distinct().count() > 3 and "Exchange" not in post._jdf.queryExecution().executedPlan().toString()
     assert tuple(rt.term_weights(post)[1].first()) == (8, (3 + 1 + 5 + 30 + 1 + 3 + 3 + 3) / 8)
     assert sorted(map(tuple, rt.bm25(chunks, asked, 3).collect())) == whole
+
+
+def test_unwrap_is_linear_and_like_the_fold(spark):
+    rng = random.Random(5)
+    bits = ["", "—", "- -", "12", "— 3 —", "１２", "12345", "1 2", "第", "第三条", "甲乙。", "甲", "ab", "# x", "IV. x", "一、x", " x　", "\x1c", "（一）y", "第　"]
+    for _ in range(3000):
+        text = "\n".join(rng.choice(bits) for _ in range(rng.randint(0, 9)))
+        acc = []
+        for line in (x.strip() for x in text.split("\n")):
+            last = acc[-1] if acc else ""
+            if not acc or not line or not last or last[-1] in "。！？；：第" or tx.PAGE.fullmatch(last) or tx.STARTS.match(line):
+                acc.append(line)
+            else:
+                acc[-1] = last + ("" if tx.CJK_CHAR.match(last[-1]) or tx.CJK_CHAR.match(line) else " ") + line
+        assert tx.unwrapped(text) == "\n".join(acc), repr(text)
+    long = spark.createDataFrame([("some words of a line\n" * 50_000 + "end",), (None,)], "t string").select(tx.unwrap_lines(F.col("t")).alias("x")).collect()
+    assert long[0]["x"] == "some words of a line " * 50_000 + "end" and long[1]["x"] is None
+
+
+def test_split_holds_few_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sp, "PART", 10)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4, 5], "text": ["a" * 4, None, "b" * 6, "c" * 50, "d"]})
+    assert [list(x.doc_id) for x in sp.parts([batch])] == [[1, 2, 3], [4], [5]]
